@@ -302,7 +302,7 @@ def lineup_order(t: Tables):
     return t.part.orderBy(place, F.desc(F.col("p_type") == "SMALL"), "p_name", "p_partkey").limit(100).select("p_partkey", place.alias("place"))
 
 
-@query("""SELECT * FROM (SELECT event_id AS id, epoch(ts)::BIGINT AS moment, 'event' AS origin FROM events UNION ALL SELECT o_orderkey, epoch(o_orderdate)::BIGINT, 'order' FROM orders) ORDER BY moment DESC, id, origin LIMIT 200""")
+@query("""SELECT * FROM (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS moment, 'event' AS origin FROM events UNION ALL SELECT o_orderkey, epoch(o_orderdate)::BIGINT, 'order' FROM orders) ORDER BY moment DESC, id, origin LIMIT 200""")
 def merged_timeline(t: Tables):
     e = t.events.select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("moment"), F.lit("event").alias("origin"))
     o = t.orders.select(F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("moment"), F.lit("order").alias("origin"))
