@@ -84,7 +84,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
     share = float(y.mean()) if len(y) else 0.5
     inner, leaves = 2**depth - 1, 2**depth
     none = Trees(float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share == 1 else -40.0), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return none
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
