@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, literal_rows, read
+from .common import literal_rows, read
 
 OTHER = "(other)"
 PERIOD, BLOCK = 10_000, 8
@@ -60,17 +60,16 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK)
     spark = docs.sparkSession
     docs = docs.drop("mix_class", "block", "slot", "in_target", "position", *[c for c in docs.columns if c.startswith("_mix_")])
     weights = {OTHER: 1} | weights
-    n_rows = docs.count()
-    ranges = max(LEAST_RANGES, n_rows // RANGE_ROWS)
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))).cast("binary"))
     cls = F.when(F.col("source").isin(*[x for x in weights if x != OTHER]), F.col("source")).otherwise(OTHER)
+    total = {r["s"]: r["n"] for r in docs.groupBy(cls.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each weight
+    ranges = max(LEAST_RANGES, sum(total.values()) // RANGE_ROWS)
     part = F.floor(F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
     rows = docs.withColumn("_mix_key", key).withColumn("_mix_source", cls).withColumn("_mix_part", part)
     # Sizes of the ranges: at most (number of weights) x ranges rows, summed before they move.
-    sizes = cut(rows.groupBy("_mix_source", "_mix_part").agg(F.count("*").alias("n")))
+    sizes = rows.groupBy("_mix_source", "_mix_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_mix_source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_mix_source", "_mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_first"))
-    total = {r["s"]: r["n"] for r in sizes.groupBy(F.col("_mix_source").alias("s")).agg(F.sum("n").alias("n")).collect()}  # a row for each weight
     weights = {s: w for s, w in weights.items() if total.get(s)} or weights  # a source without rows has no share
     names, q = sorted(weights), sum(weights.values())
     blocks = [-(-total.get(s, 0) // block) for s in names]
