@@ -33,6 +33,8 @@ OTHER = "(other)"
 PERIOD, BLOCK = 10_000, 8
 #: Rows of a source's hash range, about; the ranges grow in number with the input.
 RANGE_ROWS, LEAST_RANGES = 20_000, 256
+#: Sizes of ranges (about 40 bytes each) that may be broadcast.
+STARTS = 200_000
 #: Production weights: the large source is held to a fifth, the others share the rest.
 WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}, OTHER: 4}
 
@@ -77,6 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK)
     table = literal_rows(spark, sched, "slot long, source string, k long, before array<long>")
     table = table.select(F.col("slot").alias("_mix_slot"), F.col("source").alias("_mix_s"), F.col("k").alias("_mix_k"), F.col("before").alias("_mix_before"))
     inside = Window.partitionBy("_mix_source", "_mix_part").orderBy("_mix_key", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if _hashable(docs, c)]))
+    # A row for each class and range at most: broadcast up to STARTS of them, else joined by a shuffle.
+    starts = F.broadcast(starts) if (len(weights) + 1) * ranges <= STARTS else starts
     out = rows.withColumn("_mix_n", F.row_number().over(inside)).join(starts, ["_mix_source", "_mix_part"])
     out = out.withColumn("_mix_n", F.col("_mix_n") - 1 + F.col("_mix_first"))
     share = F.element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.lit(weights[s]))]), F.col("_mix_source"))
