@@ -21,9 +21,9 @@ rows are turns of their own; other columns don't matter; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
-import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +37,30 @@ _BACK = {"\\": "\\", "l": "<", "b": "[", "n": "\n"}
 
 
 def escape(text: str) -> str:
+    """Short texts are remembered, as every prefix renders them again."""
+    return _remembered(text) if len(text) < 1 << 12 else _escape(text)
+
+
+def _escape(text: str) -> str:
     for a, b in _ESCAPES:
         text = text.replace(a, b)
     return text
 
 
+_remembered = functools.lru_cache(4096)(_escape)
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:  # equal up to lo, not up to hi
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid)
+    return lo
+
+
 def unescape(text: str) -> str:
     head, *rest = text.split("\\")
     out, rest = [head], iter(rest)
@@ -73,10 +92,10 @@ def spans(turns: list[tuple[str, str]], template=TEMPLATE) -> tuple[str, list[tu
         now = template(turns[: i + 1])
         start = len(before)
         if not now.startswith(before):
-            rewrites, start = True, len(os.path.commonprefix([before, now]))
+            rewrites, start = True, _common(before, now)
         a, b = (template([*turns[:i], (role, probe)]) for probe in ("0", "1"))
-        head = len(os.path.commonprefix([a, b]))
-        tail = len(os.path.commonprefix([a[:head:-1], b[:head:-1]]))
+        head = _common(a, b)
+        tail = _common(a[:head:-1], b[:head:-1])
         out.append((start, len(now), head, len(now) - tail))
         before = now
     return before, out, rewrites
