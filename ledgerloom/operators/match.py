@@ -6,7 +6,9 @@ within blocks by equality joins; an ambiguous tier leaves a gap.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +45,62 @@ def unique_subset(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return g.select(left_id, F.when(F.col("n_candidates") == 1, F.col("_r")).alias(right_id), "n_candidates")
 
 
-def greedy_pairs(scored: DataFrame, block: str, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one within each block, by descending score (ties: left, then right). Blocks are
-    small by nature (the fixtures of a round, the players of a team)."""
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([score, left, right], ascending=[False, True, True])
-        ls, rs, keep = set(), set(), []
-        for x, y in zip(p[left], p[right]):
-            keep.append(x not in ls and y not in rs)
-            if keep[-1]:
-                ls.add(x)
-                rs.add(y)
-        return p[keep]
+def _by_block(df: DataFrame, block: str, name: str) -> DataFrame:
+    """One row for each block: its rows as an array. Blocks are small by nature (the fixtures of a
+    round, the players of a team), and a plain loop over an array costs far less than a frame for each."""
+    return df.groupBy(block).agg(F.collect_list(F.struct(*[c for c in df.columns if c != block])).alias(name))
+
 
+def greedy_pairs(scored: DataFrame, block: str, left: str, right: str, score: str) -> DataFrame:
+    """One-to-one within each block, by descending score (ties: left, then right)."""
     s = scored.select(block, left, right, score)
-    return s.groupBy(block).applyInPandas(work, s.schema)
+
+    def work(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for key, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ls, rs = set(), set()
+                for r in sorted(rows, key=lambda r: (-r[score], r[left], r[right])):
+                    if r[left] not in ls and r[right] not in rs:
+                        ls.add(r[left])
+                        rs.add(r[right])
+                        for col, x in zip(out, (key, r[left], r[right], r[score])):
+                            col.append(x)
+            item = b.schema.field(1).type.value_type
+            types = [b.schema.field(0).type, *(item.field(c).type for c in (left, right, score))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[block, left, right, score])
+
+    return _by_block(s, block, "rows").mapInArrow(work, s.schema)
+
+
+def _linked(ratings: list[dict], roster: list[dict]) -> list[tuple]:
+    """(pos, id, tier, candidates) for each rating, in order; see link_in_order."""
+    twice = lambda xs: {x for x, n in Counter(x for x in xs if x is not None).items() if n > 1}
+    bad_names = twice(r["name"] for r in ratings) | twice(r["name"] for r in roster)
+    bad_ids = twice(r["ext_id"] for r in ratings) | twice(r["ext_id"] for r in roster)
+    by_ext = {r["ext_id"]: r["id"] for r in roster if r["ext_id"] is not None and r["ext_id"] not in bad_ids}
+    by_name = {r["name"]: r["id"] for r in roster if r["name"]}
+    free = {r["id"] for r in roster}
+    split = {r["id"]: (r["words"] or "").split() for r in roster}
+    out = []
+    for x in sorted(ratings, key=lambda r: r["pos"]):
+        hit, tier, n = None, None, 0
+        named = x["name"] and x["name"] not in bad_names
+        if x["ext_id"] not in bad_ids and by_ext.get(x["ext_id"]) in free:
+            hit, tier, n = by_ext[x["ext_id"]], 1, 1
+        elif x["alias_id"] in free:
+            hit, tier, n = x["alias_id"], 2, 1
+        elif named and by_name.get(x["name"]) in free:
+            hit, tier, n = by_name[x["name"]], 3, 1
+        elif named:
+            mine = (x["words"] or "").split()
+            like = lambda r: r["name"] in x["name"] or x["name"] in r["name"] or (mine and (mine[-1:] == split[r["id"]][-1:] or set(mine) == set(split[r["id"]])))
+            found = [r["id"] for r in roster if r["id"] in free and r["name"] and r["name"] not in bad_names and like(r)]
+            tier, n = (4, len(found)) if found else (None, 0)
+            hit = found[0] if n == 1 else None
+        free.discard(hit)
+        out.append((x["pos"], hit, tier, n))
+    return out
 
 
 def link_in_order(ratings: DataFrame, roster: DataFrame, block: str) -> DataFrame:
@@ -69,51 +111,32 @@ def link_in_order(ratings: DataFrame, roster: DataFrame, block: str) -> DataFram
     (4) the only candidate by containment, last word or word set (words stand in `words`).
     Names that occur twice on a side are never linked by name, external ids that occur twice
     among the ratings are not trusted."""
-
-    def work(key, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        twice = lambda s: set(s[s.duplicated(keep=False) & s.notna()])
-        bad_names, bad_ids = twice(p["name"]) | twice(r["name"]), twice(p["ext_id"]) | twice(r["ext_id"])
-        by_ext = {e: i for e, i in zip(r["ext_id"], r["id"]) if pd.notna(e) and e not in bad_ids}
-        by_name = dict(zip(r["name"], r["id"]))
-        known = set(r["id"])
-        words = {i: (set(w.split()), w.split()[-1] if w.split() else "") for i, w in zip(r["id"], r["words"])}
-        for x in p.sort_values("pos").itertuples():
-            free = lambda i: i is not None and i in known and i not in used
-            hit, tier, n = None, None, 0
-            ext = by_ext.get(x.ext_id) if pd.notna(x.ext_id) and x.ext_id not in bad_ids else None
-            if free(ext):
-                hit, tier, n = ext, 1, 1
-            elif pd.notna(x.alias_id) and free(x.alias_id):
-                hit, tier, n = x.alias_id, 2, 1
-            elif x.name_ not in bad_names and free(by_name.get(x.name_)):
-                hit, tier, n = by_name[x.name_], 3, 1
-            elif x.name_ not in bad_names:
-                mine = set(x.words.split())
-                last = x.words.split()[-1] if mine else ""
-                cand = [i for i, name in zip(r["id"], r["name"]) if i not in used and name not in bad_names and x.name_ and name and (x.name_ in name or name in x.name_ or last == words[i][1] or mine == words[i][0])]
-                tier, n = (4, len(cand)) if cand else (None, 0)
-                hit = cand[0] if n == 1 else None
-            if hit is not None:
-                used.add(hit)
-            out.append((key[0], x.pos, hit, tier, n))
-        return pd.DataFrame(out, columns=[block, "pos", "id", "tier", "n_candidates"]).astype({"id": "Int64", "tier": "Int32"})
-
-    def renamed(key, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return work(key, p.assign(name_=p["name"]), r)
+    both = _by_block(ratings, block, "ratings").join(_by_block(roster, block, "roster"), block, "left").select(block, "ratings", "roster")
+
+    def work(batches):
+        for b in batches:
+            keys, rows = [], []
+            for key, x, r in zip(*(c.to_pylist() for c in b.columns)):
+                got = _linked(x, r or [])
+                keys += [key] * len(got)
+                rows += got
+            cols = list(zip(*rows)) or [()] * 4
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array(c, t) for c, t in zip(cols, types))], names=[block, "pos", "id", "tier", "n_candidates"])
 
     kind = ratings.schema[block].dataType.simpleString()
-    return ratings.groupBy(block).cogroup(roster.groupBy(block)).applyInPandas(renamed, f"{block} {kind}, pos int, id long, tier int, n_candidates int")
+    return both.mapInArrow(work, f"{block} {kind}, pos int, id long, tier int, n_candidates int")
 
 
 def first_in_window(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, days: int, value: str) -> DataFrame:
     """For each left row the first right row within `days` days after it. An equality join on
-    day blocks: a left row looks into the blocks that its window touches, no more."""
+    day blocks: a window looks into the blocks that it touches, no more, and equal windows once."""
     block = lambda c: F.floor(F.unix_timestamp(c) / (86400 * days)).cast("long")
-    l = left.withColumn("_b", F.explode(F.array(block(F.col(left_time)), block(F.col(left_time)) + 1)))
+    l = left.select(left_time).distinct().withColumn("_b", F.explode(F.array(block(F.col(left_time)), block(F.col(left_time)) + 1)))
     r = right.select(F.col(right_time).alias("_t"), F.col(value).alias("_v"), block(F.col(right_time)).alias("_b"))
     j = l.join(r, "_b").where((F.col("_t") >= F.col(left_time)) & (F.col("_t") <= F.col(left_time) + F.make_interval(days=F.lit(days))))
-    return j.groupBy(key).agg(F.min(F.struct("_t", "_v")).alias("m"), F.count("*").alias("n")).select(key, F.col("m._v").alias(value), "n")
+    found = j.groupBy(left_time).agg(F.min(F.struct("_t", "_v")).alias("m"), F.count("*").alias("n"))
+    return left.select(key, left_time).join(found, left_time).select(key, F.col("m._v").alias(value), "n")
 
 
 def dedupe(df: DataFrame, key: list[str], order: list[str], first: bool) -> DataFrame:
