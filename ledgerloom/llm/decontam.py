@@ -22,7 +22,7 @@ reported together under null; items without id take no part; extra columns don't
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
@@ -36,11 +36,12 @@ MATCHED, SLIP = 8, 4
 SEEDS = 1_000_000
 
 
-def tokens(text) -> F.Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+def tokens(text: Column) -> Column:
+    """The last one may be empty; the first is not, as marks before it are cut off."""
+    return F.split(F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+")
 
 
-def _seeds(words: str, at: F.Column) -> F.Column:
+def _seeds(words: str, at: Column) -> Column:
     hashed = [F.xxhash64(F.lit(m), *[F.get(F.col(words), at + k) for k, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(MASKS)]
     return F.array(*hashed)
 
