@@ -29,7 +29,7 @@ def squad_link(t: Tables):
 @query()
 def tiered_link(t: Tables):
     """Ratings (part names within an order) to roster rows of the same order, each used once."""
-    lines, again = (t.lineitem.where("l_orderkey % 20 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")) for _ in range(2))
+    lines, again = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")) for _ in range(2))
     roster = again.groupBy("l_orderkey", F.col("l_partkey").alias("id")).agg(F.min("p_name").alias("words"), F.min("l_suppkey").alias("ext_id"))
     roster = roster.select("l_orderkey", "id", F.regexp_replace("words", " ", "").alias("name"), "words", "ext_id")
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
@@ -38,14 +38,14 @@ def tiered_link(t: Tables):
     return match.link_in_order(ratings.withColumn("name", F.regexp_replace("words", " ", "")), roster, "l_orderkey")
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand, lower(p_brand) AS k FROM part), a AS (SELECT p_partkey, lower(CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN left(p_brand, 7) ELSE p_type END) AS k FROM part WHERE p_partkey % 5 = 0),
+@query("""WITH b AS (SELECT DISTINCT p_brand, lower(p_brand) AS k FROM part), a AS (SELECT p_partkey, lower(CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN left(p_brand, 7) ELSE p_type END) AS k FROM part),
 x AS (SELECT p_partkey, p_brand, CASE WHEN a.k = b.k THEN 1 WHEN starts_with(b.k, a.k) OR starts_with(a.k, b.k) THEN 2 END AS tier FROM a JOIN b ON left(a.k, 5) = left(b.k, 5)),
 g AS (SELECT p_partkey, tier, count(DISTINCT p_brand) AS n, min(p_brand) AS r FROM x WHERE tier IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier) AS rn FROM g)
 SELECT a.p_partkey, CASE WHEN n = 1 THEN r END AS p_brand, tier, coalesce(n, 0) AS n_candidates FROM a LEFT JOIN (SELECT * FROM m WHERE rn = 1) y USING (p_partkey)""")
 def team_link(t: Tables):
     b = t.part.select("p_brand").distinct().select("p_brand", F.lower("p_brand").alias("bk"), F.left(F.lower("p_brand"), F.lit(5)).alias("block"))
     said = F.when(F.col("p_size") % 4 == 0, F.col("p_brand")).when(F.col("p_size") % 4 == 1, F.upper("p_brand")).when(F.col("p_size") % 4 == 2, F.left("p_brand", F.lit(7))).otherwise(F.col("p_type"))
-    a = t.part.where("p_partkey % 5 = 0").select("p_partkey", F.lower(said).alias("ak")).withColumn("block", F.left("ak", F.lit(5)))
+    a = t.part.select("p_partkey", F.lower(said).alias("ak")).withColumn("block", F.left("ak", F.lit(5)))
     return match.tiered(a, b, ["block"], [F.col("ak") == F.col("bk"), F.startswith("bk", F.col("ak")) | F.startswith("ak", F.col("bk"))], "p_partkey", "p_brand")
 
 
@@ -65,11 +65,11 @@ def official_link(t: Tables):
     return j.select("l_orderkey", "shirt", "ext", F.coalesce("sid", "lid").alias("id"), F.when(F.col("sid").isNotNull(), "shirt").when(F.col("lid").isNotNull(), "learned").alias("how"))
 
 
-@query("""WITH m AS (SELECT o_orderkey, o_custkey, o_orderdate AS d FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT o_orderkey AS other, o_custkey, o_orderdate AS e, o_totalprice AS score FROM orders WHERE o_orderkey % 7 <> 0)
+@query("""WITH m AS (SELECT o_orderkey, o_custkey, o_orderdate AS d FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT o_orderkey AS other, o_custkey, o_orderdate AS e, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'P')
 SELECT o_orderkey, max_by(other, (score, -other)) AS other, count(*) AS n FROM m JOIN c USING (o_custkey) WHERE abs(date_diff('day', d::DATE, e::DATE)) <= 30 GROUP BY 1""")
 def match_discovery(t: Tables):
-    m = t.orders.where("o_orderkey % 7 = 0").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
-    c = t.orders.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("other"), "o_custkey", F.to_date("o_orderdate").alias("e"), F.col("o_totalprice").alias("score"))
+    m = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    c = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("other"), "o_custkey", F.to_date("o_orderdate").alias("e"), F.col("o_totalprice").alias("score"))
     j = m.join(c, "o_custkey").where(F.abs(F.datediff("d", "e")) <= 30)
     return j.groupBy("o_orderkey").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"), F.count("*").alias("n"))
 
@@ -158,11 +158,11 @@ def player_fanout(t: Tables):
     return c.join(t.orders.where("o_orderstatus <> 'F'"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderpriority").distinct()
 
 
-@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_nationkey END AS league FROM supplier WHERE s_acctbal > 0), r AS (SELECT c_custkey, nullif(c_nationkey, 4) AS league FROM customer WHERE c_custkey % 10 = 0)
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_nationkey END AS league FROM supplier WHERE s_acctbal > 0), r AS (SELECT c_custkey, nullif(c_nationkey, 4) AS league FROM customer)
 SELECT c_custkey, s_suppkey FROM r JOIN s ON s.league IS NULL OR s.league = r.league""")
 def route_subscribers(t: Tables):
     s = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 10 != 0, F.col("s_nationkey")).alias("sub_league"), (F.col("s_acctbal") > 0).alias("active"))
-    r = t.customer.where("c_custkey % 10 = 0").select("c_custkey", F.nullif("c_nationkey", F.lit(4)).alias("league"))
+    r = t.customer.select("c_custkey", F.nullif("c_nationkey", F.lit(4)).alias("league"))
     return queue.route(r, s, "league", "sub_league").select("c_custkey", "s_suppkey")
 
 
@@ -255,10 +255,10 @@ def unscored_finished(t: Tables):
     return t.orders.where("o_orderstatus = 'F'").select("o_orderkey").join(lines.where("l_returnflag = 'N'"), "o_orderkey", "left_semi").join(both, "o_orderkey", "left_anti")
 
 
-@query("""WITH r AS (SELECT o_custkey, unnest(range(1, 8)) AS round FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 1)), h AS (SELECT o_custkey, (o_orderkey % 7 + 1) AS round, bool_and(o_orderstatus = 'F') AS done FROM orders GROUP BY 1, 2)
+@query("""WITH r AS (SELECT o_custkey, unnest(range(1, 8)) AS round FROM (SELECT DISTINCT o_custkey FROM orders)), h AS (SELECT o_custkey, (o_orderkey % 7 + 1) AS round, bool_and(o_orderstatus = 'F') AS done FROM orders GROUP BY 1, 2)
 SELECT o_custkey, round::INT AS round, (row_number() OVER (PARTITION BY o_custkey ORDER BY round) + 7)::INT AS step FROM r LEFT JOIN h USING (o_custkey, round) WHERE NOT coalesce(done, false)""")
 def backfill_plan(t: Tables):
-    rounds = t.orders.where("o_custkey % 10 = 1").select("o_custkey").distinct().select("o_custkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("round"))
+    rounds = t.orders.select("o_custkey").distinct().select("o_custkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("round"))
     done = t.orders.groupBy("o_custkey", (F.col("o_orderkey") % 7 + 1).cast("int").alias("round")).agg(F.bool_and(F.col("o_orderstatus") == "F").alias("done")).where("done")
     left = rounds.join(done, ["o_custkey", "round"], "left_anti")
     return left.withColumn("step", F.row_number().over(Window.partitionBy("o_custkey").orderBy("round")) + 7)
@@ -323,9 +323,9 @@ def recheck_cadence(t: Tables):
 
 
 # Worklists
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def v_live_matches(t: Tables):
-    return t.orders.where("o_orderstatus = 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
+    return t.orders.where("o_orderstatus = 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT coalesce(r_name, 'Miscellaneous') AS league, o_orderpriority AS round, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey > 0) r ON n_regionkey = r_regionkey GROUP BY 1, 2""")

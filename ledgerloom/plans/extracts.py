@@ -12,14 +12,14 @@ from ..sources.tables import Tables
 from .registry import query
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS m, l_returnflag AS r FROM lineitem WHERE l_orderkey % 10 = 0)
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS m, l_returnflag AS r FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE r WHEN 'R' THEN 'penalty' WHEN 'A' THEN 'own_goal' ELSE 'goal' END AS kind, m AS minute, NULL::INT AS extra FROM x
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'goal', 90, l_linenumber FROM x""")
 def minute_tokens(t: Tables):
     """Several minutes behind one icon, with annotations."""
     note = F.when(F.col("l_returnflag") == "R", " (g.p.)").when(F.col("l_returnflag") == "A", " (p.b.)").otherwise("")
     s = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("'"), note, F.lit(" 90+"), F.col("l_linenumber").cast("string"), F.lit("'"))
-    return t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.inline(R.minute_tokens(s)))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.inline(R.minute_tokens(s)))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 10 AND p_size % 4 <> 1 THEN NULL WHEN p_size % 4 = 3 THEN NULL ELSE p_name END AS name,
@@ -81,13 +81,13 @@ def standout_boxes(t: Tables):
     return g.where("any").drop("any")
 
 
-@query("""WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS ext FROM customer), n AS (SELECT c_custkey, c_nationkey, (c_custkey * 7) % 500 AS new FROM customer WHERE c_custkey % 3 = 0),
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS ext FROM customer), n AS (SELECT c_custkey, c_nationkey, (c_custkey * 7) % 500 AS new FROM customer WHERE c_acctbal > 0),
 g AS (SELECT n.*, c.ext, count(*) OVER (PARTITION BY n.c_nationkey, new) AS k FROM n JOIN c USING (c_custkey))
 SELECT c_custkey, new AS ext FROM g WHERE ext IS NULL AND k = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.c_nationkey = g.c_nationkey AND c.ext = g.new)""")
 def learn_external_ids(t: Tables):
     """A new external id is learned only by a player without one, if no teammate has it and the page names it once."""
     c = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("ext"))
-    n = t.customer.where("c_custkey % 3 = 0").select("c_custkey", "c_nationkey", ((F.col("c_custkey") * 7) % 500).alias("new"))
+    n = t.customer.where("c_acctbal > 0").select("c_custkey", "c_nationkey", ((F.col("c_custkey") * 7) % 500).alias("new"))
     once = n.withColumn("k", F.count("*").over(Window.partitionBy("c_nationkey", "new"))).where("k = 1")
     free = once.join(c.where("ext is null").select("c_custkey"), "c_custkey", "left_semi")
     taken = c.where("ext is not null").select("c_nationkey", F.col("ext").alias("new"))
@@ -147,22 +147,23 @@ def range_syntax(t: Tables):
     return t.part.select("p_partkey", R.valid_ranges(s).alias("ok"))
 
 
-@query("""SELECT o_orderkey, sha256(from_hex(repeat('5c', 64))::BLOB || from_hex(sha256(from_hex(repeat('36', 64))::BLOB || encode(o_orderkey || ':' || o_orderstatus)))) AS unsigned_key FROM orders WHERE o_orderkey % 5 = 0""")
+@query("""SELECT o_orderkey, sha256(from_hex(repeat('5c', 64))::BLOB || from_hex(sha256(from_hex(repeat('36', 64))::BLOB || encode(o_orderkey || ':' || o_orderstatus)))) AS unsigned_key FROM orders""")
 def signed_deliveries(t: Tables):
     """HMAC-SHA256 of the payload (here with an empty secret)."""
     payload = F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderstatus")
-    return t.orders.where("o_orderkey % 5 = 0").select("o_orderkey", R.hmac_sha256(b"", payload).alias("unsigned_key"))
+    return t.orders.select("o_orderkey", R.hmac_sha256(b"", payload).alias("unsigned_key"))
 
 
-@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'F' ELSE o_orderstatus END AS status FROM orders),
-c AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 6 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM lineitem WHERE l_orderkey % 6 = 0 AND l_linenumber <= 2),
+@query("""WITH u AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'), p AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' ELSE o_orderstatus END AS status FROM orders),
+c AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ANTI JOIN u ON l_orderkey = u.o_orderkey UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM lineitem SEMI JOIN u ON l_orderkey = u.o_orderkey WHERE l_linenumber <= 2),
 k AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity)::DOUBLE AS q FROM c GROUP BY 1) SELECT o_orderkey, status, coalesce(n, 0) AS n, q FROM p LEFT JOIN k ON l_orderkey = o_orderkey""")
 def replica_apply(t: Tables):
     """A received document: the parent is merged, its children are replaced."""
     base = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    parent = merge.merge(base, base.where("o_orderkey % 6 = 0").withColumn("status", F.lit("F")), ["o_orderkey"])
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    parent = merge.merge(base, urgent.withColumn("status", F.lit("F")), ["o_orderkey"])
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
-    touched = lines.where("o_orderkey % 6 = 0")
+    touched = lines.join(urgent, "o_orderkey", "left_semi")
     fresh = touched.where("l_linenumber <= 2").withColumn("l_quantity", F.col("l_quantity") + 1)
     # Parents whose new list is empty lose their children too.
     children = lines.join(touched.select("o_orderkey").distinct(), "o_orderkey", "left_anti").unionByName(fresh)
@@ -183,11 +184,11 @@ def goal_split(t: Tables):
     return t.part.select("p_partkey", goals.alias("goals"), pens.alias("penalties"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS round, l_suppkey AS a, l_partkey AS b, max((l_quantity / 50)::DOUBLE) AS s FROM lineitem WHERE l_orderkey % 50 = 0 AND l_quantity >= 25 GROUP BY 1, 2, 3),
+@query("""WITH f AS (SELECT l_orderkey AS round, l_suppkey AS a, l_partkey AS b, max((l_quantity / 50)::DOUBLE) AS s FROM lineitem WHERE l_quantity >= 25 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY s DESC, a, b) AS rn FROM f) SELECT round, a, b FROM r WHERE rn = 1""")
 def best_fixture(t: Tables):
     """The best-scored pair of each round: where a greedy pairing starts."""
-    f = t.lineitem.where("l_orderkey % 50 = 0 AND l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
+    f = t.lineitem.where("l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
     return f.groupBy("round").agg(F.max_by(F.struct("a", "b"), F.struct("s", -F.col("a"), -F.col("b"))).alias("m")).select("round", "m.*")
 
 
@@ -196,5 +197,5 @@ def fixture_pairs(t: Tables):
     """Fixtures of two sources paired one to one within a round, both sides scored by what they share."""
     from ..operators.match import greedy_pairs
 
-    f = t.lineitem.where("l_orderkey % 50 = 0 AND l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
+    f = t.lineitem.where("l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
     return greedy_pairs(f, "round", "a", "b", "s")

@@ -72,9 +72,9 @@ def change_history_quiet(t: Tables):
 
 STATUS = {"O": 0, "P": 1, "F": 2}
 DELTA_STATUS_SQL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'F' WHEN '2' THEN 'P' ELSE 'O' END"
-MERGE_SQL = f"""WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, epoch(o_orderdate)::BIGINT AS day FROM orders WHERE o_orderkey % 5 <> 0),
+MERGE_SQL = f"""WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, epoch(o_orderdate)::BIGINT AS day FROM orders WHERE o_totalprice < 400000),
 d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 1 END AS o_custkey, {DELTA_STATUS_SQL} AS status, epoch(o_orderdate)::BIGINT + 86400 AS day,
-  (o_orderkey % 11 = 0 AND {DELTA_STATUS_SQL} = 'O') AS explicit FROM orders WHERE o_orderkey % 4 <> 0),
+  (o_orderkey % 11 = 0 AND {DELTA_STATUS_SQL} = 'O') AS explicit FROM orders WHERE o_totalprice >= 100000),
 j AS (SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey, b.o_orderkey IS NOT NULL AS in_b, d.o_orderkey IS NOT NULL AS in_d,
   b.o_custkey AS bc, d.o_custkey AS dc, b.status AS bs, d.status AS ds, b.day AS bd, d.day AS dd, coalesce(explicit, false) AS explicit
   FROM b FULL JOIN d ON b.o_orderkey = d.o_orderkey)"""
@@ -82,10 +82,10 @@ j AS (SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey, b.o_orderkey IS
 
 def _base_delta(t: Tables):
     day = F.unix_timestamp("o_orderdate")
-    base = t.orders.where("o_orderkey % 5 <> 0").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), day.alias("day"))
+    base = t.orders.where("o_totalprice < 400000").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), day.alias("day"))
     first = F.substring("o_orderpriority", 1, 1)
     status = F.when(first == "1", "F").when(first == "2", "P").otherwise("O")
-    delta = t.orders.where("o_orderkey % 4 <> 0").select(
+    delta = t.orders.where("o_totalprice >= 100000").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") + 1).alias("o_custkey"), status.alias("status"), (day + 86400).alias("day"), ((F.col("o_orderkey") % 11 == 0) & (status == "O")).alias("explicit")
     )
     return base, delta
@@ -105,18 +105,17 @@ def merge_schedule_only(t: Tables):
     return merge.restricted(base, delta, ["o_orderkey"], ["o_custkey", "day"])
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 13 <> 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderpriority <> '5-LOW'""")
 def patch_and_delete(t: Tables):
-    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey").where("o_orderkey % 13 <> 0")
-    return merge.patch(rows, F.col("o_orderkey") % 9 == 0, {"o_orderstatus": F.lit("X"), "o_custkey": F.lit(0).cast("long")})
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority").where("o_orderpriority <> '5-LOW'")
+    return merge.patch(rows.drop("o_orderpriority"), F.col("o_orderkey") % 9 == 0, {"o_orderstatus": F.lit("X"), "o_custkey": F.lit(0).cast("long")})
 
 
-@query("""WITH d AS (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderkey % 10 = 0)
-SELECT l_orderkey, l_linenumber, l_quantity, 'old' AS origin FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <= 3)
-UNION ALL SELECT l_orderkey, l_linenumber, l_quantity * 2, 'new' FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <= 3""")
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, 'old' AS origin FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40 AND l_linenumber <= 3)
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity * 2, 'new' FROM lineitem WHERE l_quantity >= 40 AND l_linenumber <= 3""")
 def replace_children(t: Tables):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
-    delta = lines.where("l_orderkey % 10 = 0 AND l_linenumber <= 3").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("l_quantity"), F.lit("new").alias("origin"))
+    delta = lines.where("l_quantity >= 40 AND l_linenumber <= 3").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("l_quantity"), F.lit("new").alias("origin"))
     return merge.replace_children(lines.withColumn("origin", F.lit("old")), delta, ["l_orderkey"])
 
 
@@ -160,8 +159,8 @@ def overlay_precedence(t: Tables):
 
 @query("""WITH r AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) % 2 AS team FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2),
 o0 AS (SELECT l_orderkey, CASE WHEN l_suppkey % 17 <> 0 THEN l_suppkey END AS l_suppkey, min(l_linenumber) % 2 AS team, count(*)::INT AS goals, nullif(sum((l_returnflag = 'R')::INT), 0)::INT AS yellows
-  FROM lineitem WHERE l_linenumber <> 1 AND l_orderkey % 4 <> 0 GROUP BY l_orderkey, lineitem.l_suppkey),
-o AS (SELECT * FROM o0 UNION ALL SELECT * FROM o0 WHERE l_orderkey % 21 = 0 AND l_suppkey IS NOT NULL),
+  FROM lineitem WHERE l_linenumber <> 1 AND l_tax > 0 GROUP BY l_orderkey, lineitem.l_suppkey),
+o AS (SELECT * FROM o0 UNION ALL SELECT * FROM o0 WHERE goals > 1 AND l_suppkey IS NOT NULL),
 m AS (SELECT l_orderkey, l_suppkey, count(*) AS n, min(goals) AS goals, min(yellows) AS yellows FROM o WHERE l_suppkey IS NOT NULL GROUP BY 1, 2)
 SELECT r.l_orderkey, r.l_suppkey, CASE
   WHEN r.l_orderkey % 8 = 1 OR r.l_orderkey NOT IN (SELECT l_orderkey FROM o) OR m.n > 1 THEN 'empty'
@@ -171,11 +170,11 @@ SELECT r.l_orderkey, r.l_suppkey, CASE
 FROM r LEFT JOIN m ON r.l_orderkey = m.l_orderkey AND r.l_suppkey = m.l_suppkey""")
 def overlay_build(t: Tables):
     rows = t.lineitem.where("l_linenumber <> 7").groupBy("l_orderkey", "l_suppkey").agg((F.min("l_linenumber") % 2).alias("team"))
-    o = t.lineitem.where("l_linenumber <> 1 AND l_orderkey % 4 <> 0").groupBy("l_orderkey", "l_suppkey").agg(
+    o = t.lineitem.where("l_linenumber <> 1 AND l_tax > 0").groupBy("l_orderkey", "l_suppkey").agg(
         (F.min("l_linenumber") % 2).alias("team"), F.count("*").cast("int").alias("goals"), F.nullif(F.sum((F.col("l_returnflag") == "R").cast("int")).cast("int"), F.lit(0)).alias("yellows")
     )
     o = o.withColumn("l_suppkey", F.when(F.col("l_suppkey") % 17 != 0, F.col("l_suppkey")))
-    o = o.unionByName(o.where("l_orderkey % 21 = 0 AND l_suppkey IS NOT NULL"))
+    o = o.unionByName(o.where("goals > 1 AND l_suppkey IS NOT NULL"))
     built = overlay.build_official(rows, o, KEY, "team", F.col("l_orderkey") % 8 != 1, ["goals", "yellows"])
     said = F.array_join(F.transform(F.array_sort(F.map_entries("layer")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return built.select("l_orderkey", "l_suppkey", F.when(F.size("layer") == 0, "empty").otherwise(said).alias("layer"))
@@ -191,12 +190,12 @@ def overlay_manual_edit(t: Tables):
 
 
 SEEN_SQL = """WITH b AS (SELECT o_custkey, o_orderpriority, count(*) % 4 <> 0 AS active FROM orders GROUP BY 1, 2),
-s AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 50 = 0 AND o_orderpriority <> '5-LOW')"""
+s AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice >= 300000 AND o_orderpriority <> '5-LOW')"""
 
 
 def _members(t: Tables):
     base = t.orders.groupBy("o_custkey", "o_orderpriority").agg((F.count("*") % 4 != 0).alias("active"))
-    seen = t.orders.where("o_orderkey % 50 = 0 AND o_orderpriority <> '5-LOW'").select("o_custkey", "o_orderpriority").distinct()
+    seen = t.orders.where("o_totalprice >= 300000 AND o_orderpriority <> '5-LOW'").select("o_custkey", "o_orderpriority").distinct()
     return base, seen
 
 
@@ -220,9 +219,9 @@ def upsert_rejects(t: Tables):
     return bad.select("o_orderkey", "o_orderstatus", "reason")
 
 
-@query("""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NEW' END AS seg FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NEW' END AS seg FROM customer WHERE c_acctbal > 5000)
 SELECT c.c_custkey, coalesce(d.seg, c.c_mktsegment) AS c_mktsegment, coalesce(d.seg <> c.c_mktsegment, false) AS changed FROM customer c LEFT JOIN d USING (c_custkey)""")
 def join_update(t: Tables):
     base = t.customer.select("c_custkey", "c_mktsegment")
-    other = base.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("NEW"))
+    other = t.customer.where("c_acctbal > 5000").select("c_custkey", "c_mktsegment").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("NEW"))
     return merge.update_from(base, other, ["c_custkey"], ["c_mktsegment"])

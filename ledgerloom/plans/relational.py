@@ -23,9 +23,9 @@ def paged_scan(t: Tables):
     return page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 25, 2)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_custkey % 40 = 1) x ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice > 450000) x ON l_orderkey = o_orderkey")
 def in_list_lookup(t: Tables):
-    ids = t.orders.where("o_custkey % 40 = 1").select(F.col("o_orderkey").alias("l_orderkey"))
+    ids = t.orders.where("o_totalprice > 450000").select(F.col("o_orderkey").alias("l_orderkey"))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(ids, "l_orderkey", "left_semi")
 
 
@@ -95,19 +95,19 @@ def bucket_score(t: Tables):
     return t.orders.select("o_orderkey", bucket(F.col("o_totalprice"), parse_ranges(RANGES)).alias("score"))
 
 
-@query("""WITH m AS (SELECT o_orderkey, timestamp '2024-01-01' + INTERVAL (o_orderkey % 30) DAY AS since FROM orders WHERE o_orderkey % 10 = 0),
+@query("""WITH m AS (SELECT o_orderkey, timestamp '2024-01-01' + INTERVAL (o_orderkey % 30) DAY AS since FROM orders),
 e AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase')
 SELECT o_orderkey, min_by(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM m JOIN e ON ts >= since AND ts <= since + INTERVAL 2 DAY GROUP BY 1""")
 def interval_match(t: Tables):
-    m = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(F.col("o_orderkey") % 30).cast("int"))).alias("since"))
+    m = t.orders.select("o_orderkey", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(F.col("o_orderkey") % 30).cast("int"))).alias("since"))
     return match.first_in_window(m, t.events.where("event_type = 'purchase'"), "o_orderkey", "since", "ts", 2, "event_id")
 
 
-@query("""WITH p AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''))) AS w FROM part WHERE p_partkey % 20 = 0),
+@query("""WITH p AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''))) AS w FROM part),
 q AS (SELECT DISTINCT on (w) p_brand || p_type AS id, w FROM (SELECT p_brand, p_type, list_sort(list_distinct([lower(p_type), list_extract(string_split(p_name, ' '), 1)])) AS w FROM part) ORDER BY w, id)
 SELECT p_partkey, CASE WHEN count(*) = 1 THEN min(q.id) END AS id, count(*)::INT AS n_candidates FROM p JOIN q ON (list_has_all(q.w, p.w) OR list_has_all(p.w, q.w)) AND list_has_any(p.w, q.w) GROUP BY 1""")
 def token_subset_join(t: Tables):
-    p = t.part.where("p_partkey % 20 = 0").select("p_partkey", tokens(F.col("p_name")).alias("w"))
+    p = t.part.select("p_partkey", tokens(F.col("p_name")).alias("w"))
     q = t.part.select(F.concat("p_brand", "p_type").alias("id"), F.array_sort(F.array_distinct(F.array(F.lower("p_type"), F.split("p_name", " ")[0]))).alias("w"))
     return match.unique_subset(p, q.groupBy("w").agg(F.min("id").alias("id")), "p_partkey", "id", "w")
 
@@ -296,23 +296,24 @@ def latest_runs(t: Tables):
     return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(30).select("event_id", "event_type")
 
 
-@query("""SELECT p_partkey, coalesce(nullif(p_size, 7), 9999) AS place FROM part ORDER BY coalesce(nullif(p_size, 7), 9999), p_type = 'SMALL' DESC, p_name, p_partkey LIMIT 100""")
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(nullif(p_size, 7), 9999), p_type = 'SMALL' DESC, p_name, p_partkey) AS place FROM part""")
 def lineup_order(t: Tables):
     place = F.coalesce(F.nullif("p_size", F.lit(7)), F.lit(9999))
-    return t.part.orderBy(place, F.desc(F.col("p_type") == "SMALL"), "p_name", "p_partkey").limit(100).select("p_partkey", place.alias("place"))
+    w = Window.partitionBy("p_brand").orderBy(place, F.desc(F.col("p_type") == "SMALL"), "p_name", "p_partkey")
+    return t.part.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("""SELECT * FROM (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS moment, 'event' AS origin FROM events UNION ALL SELECT o_orderkey, epoch(o_orderdate)::BIGINT, 'order' FROM orders) ORDER BY moment DESC, id, origin LIMIT 200""")
+@query("""SELECT * FROM (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS moment, 'event' AS origin FROM events UNION ALL SELECT o_orderkey, epoch(o_orderdate)::BIGINT, 'order' FROM orders)""")
 def merged_timeline(t: Tables):
     e = t.events.select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("moment"), F.lit("event").alias("origin"))
     o = t.orders.select(F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("moment"), F.lit("order").alias("origin"))
-    return e.unionByName(o).orderBy(F.desc("moment"), "id", "origin").limit(200)
+    return e.unionByName(o).orderBy(F.desc("moment"), "id", "origin")
 
 
 @query()
 def greedy_pairs(t: Tables):
     """Customers and suppliers of a nation paired one to one, the closest balances first."""
-    c = t.customer.where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    c = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
     s = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
     scored = c.join(s, "nation").withColumn("score", -F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
     return match.greedy_pairs(scored, "nation", "c_custkey", "s_suppkey", "score")

@@ -120,11 +120,11 @@ def truncate(t: Tables):
     return t.documents.select("doc_id", F.left("text", F.lit(2000)).alias("head"))
 
 
-@query("""SELECT o_orderkey, epoch(o_orderdate)::BIGINT - CASE WHEN (month(o_orderdate) BETWEEN 4 AND 9) THEN 3600 ELSE 0 END + 72000 AS instant FROM orders WHERE month(o_orderdate) NOT IN (3, 10) AND year(o_orderdate) >= 1997""")
+@query("SELECT o_orderkey, epoch(timezone('Europe/Lisbon', o_orderdate + INTERVAL 20 HOUR))::BIGINT AS instant FROM orders")
 def local_instant(t: Tables):
     d = F.col("o_orderdate")
     at = X.local_instant(F.year(d), F.month(d), F.day(d), F.lit(20), F.lit(0), "Europe/Lisbon")
-    return t.orders.where(~F.month(d).isin(3, 10) & (F.year(d) >= 1997)).select("o_orderkey", F.unix_timestamp(at).alias("instant"))
+    return t.orders.select("o_orderkey", F.unix_timestamp(at).alias("instant"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN epoch(o_orderdate)::BIGINT END AS instant FROM orders""")
@@ -191,12 +191,12 @@ def json_field(t: Tables):
     return t.events.select("event_id", k.alias("k"), (F.col("event_id") % 2 == 0).cast("int").alias("variant"))
 
 
-@query("""SELECT event_id, u.round AS round, u.k AS k FROM (SELECT event_id, unnest([{'round': 0, 'k': json_extract(props, '$.k')::INT}, {'round': 1, 'k': user_id::INT}]) AS u FROM events WHERE event_id % 3 = 0)""")
+@query("""SELECT event_id, u.round AS round, u.k AS k FROM (SELECT event_id, unnest([{'round': 0, 'k': json_extract(props, '$.k')::INT}, {'round': 1, 'k': user_id::INT}]) AS u FROM events)""")
 def embedded_json(t: Tables):
     """JSON inside a script tag, its list of lists flattened."""
     html = F.concat(F.lit('<html><script id="DATA" type="x">{"rounds": [[{"k": '), F.get_json_object("props", "$.k"), F.lit('}], [{"k": '), F.col("user_id").cast("string"), F.lit("}]]}</script></html>"))
     data = P.embedded_json(html, "DATA", "rounds array<array<struct<k:int>>>")
-    rows = t.events.where("event_id % 3 = 0").select("event_id", F.posexplode(data["rounds"]).alias("round", "items"))
+    rows = t.events.select("event_id", F.posexplode(data["rounds"]).alias("round", "items"))
     return rows.select("event_id", "round", F.inline("items"))
 
 
