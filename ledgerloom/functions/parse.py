@@ -86,3 +86,9 @@ def hmac_sha256(key: bytes, payload: Column) -> Column:
     pad = lambda b: F.unhex(F.lit(bytes(k ^ b for k in key).hex()))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
     return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def lineup_role(section: Column) -> Column:
+    """Which list a section of a lineup page holds, by its place: the first four count, the rest is staff."""
+    table = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(starter).alias("starter")) for starter in (True, False) for side in "AB"])
+    return F.get(table, section)

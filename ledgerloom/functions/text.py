@@ -107,3 +107,10 @@ def backoff(attempts: Column) -> Column:
 
 def local_instant(y: Column, mo: Column, d: Column, h: Column, mi: Column, zone: str) -> Column:
     return F.make_timestamp(y, mo, d, h, mi, F.lit(0), F.lit(zone))
+
+
+def with_aliases(words: Column, groups: list[list[str]]) -> Column:
+    """Tokens, and for each that belongs to an alias group the whole group."""
+    table = F.create_map(*[x for g in groups for w in g for x in (F.lit(w), F.array(*[F.lit(y) for y in g]))])
+    more = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))
+    return F.array_sort(F.array_union(words, more))

@@ -199,3 +199,47 @@ def fixture_pairs(t: Tables):
 
     f = t.lineitem.where("l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
     return greedy_pairs(f, "round", "a", "b", "s")
+
+
+@query("""SELECT page_id, i::INT AS section, CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END AS side, i < 2 AS starter, length(s[i + 2])::INT AS chars
+FROM (SELECT page_id, s, unnest(range(0, least(len(s) - 1, 4))) AS i FROM (SELECT page_id, string_split(html, '<li>') AS s FROM pages))""")
+def lineup_sections(t: Tables):
+    """The first four sections of a page are starters and bench of both sides."""
+    from ..sources.pages import sections
+
+    x = sections(t.pages, "<li>", 4).withColumn("r", R.lineup_role(F.col("section")))
+    return x.select("page_id", "section", "r.side", "r.starter", F.length("body").alias("chars"))
+
+
+@query("""SELECT l_suppkey, l_partkey AS id, min_by(l_orderkey, (l_linenumber, l_orderkey, l_quantity)) AS first_seen, min_by(l_returnflag = 'R', (l_linenumber, l_orderkey, l_quantity)) AS departed FROM lineitem GROUP BY 1, 2""")
+def squad_page(t: Tables):
+    """Players of a squad in page order: the first card of an id wins, with its departed flag."""
+    order = F.struct("l_linenumber", "l_orderkey", "l_quantity")
+    first = F.min_by(F.struct(F.col("l_orderkey").alias("first_seen"), (F.col("l_returnflag") == "R").alias("departed")), order)
+    return t.lineitem.groupBy("l_suppkey", F.col("l_partkey").alias("id")).agg(first.alias("m")).select("l_suppkey", "id", "m.*")
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, w || CASE WHEN list_has_any(w, ['red', 'rouge']) THEN ['red', 'rouge'] ELSE [] END || CASE WHEN list_has_any(w, ['bolt', 'screw']) THEN ['bolt', 'screw'] ELSE [] END AS w FROM w)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(w)), ' ') AS words FROM x""")
+def alias_tokens(t: Tables):
+    from ..functions.text import with_aliases
+
+    return t.part.select("p_partkey", F.array_join(with_aliases(F.split("p_name", " "), [["red", "rouge"], ["bolt", "screw"]]), " ").alias("words"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, min(l_shipdate) AS shipped, bool_or(l_suppkey % 2 = 0) AND bool_or(l_suppkey % 2 = 1) AS both_sides FROM lineitem GROUP BY 1)
+SELECT o_custkey, min_by(l_orderkey, (shipped, l_orderkey)) AS page FROM orders JOIN p ON l_orderkey = o_orderkey WHERE both_sides AND shipped >= o_orderdate AND shipped <= o_orderdate + INTERVAL 90 DAY GROUP BY 1""")
+def page_assignment(t: Tables):
+    """The earliest page in the window whose teams cover both sides."""
+    side = F.col("l_suppkey") % 2
+    p = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("at"), (F.bool_or(side == 0) & F.bool_or(side == 1)).alias("both_sides")).where("both_sides")
+    j = t.orders.join(p, "o_orderkey").where((F.col("at") >= F.col("o_orderdate")) & (F.col("at") <= F.col("o_orderdate") + F.make_interval(days=F.lit(90))))
+    return j.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("at", "o_orderkey")).alias("page"))
+
+
+@query("""SELECT user_id::VARCHAR AS dedupe_key, min(event_id) AS first_final FROM events WHERE event_type = 'purchase' AND user_id::VARCHAR NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' AND value > 60) GROUP BY 1""")
+def final_followups(t: Tables):
+    """What turned final gets one follow-up job, unless one with its key is pending."""
+    key = F.col("user_id").cast("string").alias("dedupe_key")
+    done = t.events.where("event_type = 'purchase'").groupBy(key).agg(F.min("event_id").alias("first_final"))
+    return done.join(t.events.where("event_type = 'error' AND value > 60").select(key), "dedupe_key", "left_anti")
