@@ -10,6 +10,11 @@ PENALTY, OWN = "g.p.", "p.b."
 _TOKEN = r"([0-9]{1,3})(?:\+([0-9]{1,2}))?'(?: *\((g\.p\.|p\.b\.)\))?"
 
 
+def _number(x: Column) -> Column:
+    """Digits, or nothing: blanks become null before the cast, as a cast that fails is slow."""
+    return F.nullif(x, F.lit("")).try_cast("int")
+
+
 def minute_tokens(x: Column) -> Column:
     """"31' 72' (g.p.)" to an array of (kind, minute, extra): a goal, a penalty or an own goal each."""
     part = lambda i: F.regexp_extract_all(x, F.lit(_TOKEN), i)
@@ -19,7 +24,7 @@ def minute_tokens(x: Column) -> Column:
         lambda t: F.struct(
             F.when(t["a"] == PENALTY, "penalty").when(t["a"] == OWN, "own_goal").otherwise("goal").alias("kind"),
             t["m"].cast("int").alias("minute"),
-            t["e"].try_cast("int").alias("extra"),
+            _number(t["e"]).alias("extra"),
         ),
     )
 
@@ -31,7 +36,7 @@ def rated(x: Column) -> Column:
     after = F.regexp_extract(x, r"^ *([^()0-9;]{1,35}?) *\( *([0-9]{1,2}|[-–—]?) *\)", 2)
     before = r"^ *\(?([0-9]{1,2})\)? *[-–:]? *([^()0-9;]{1,35}?) *$"
     score_after = F.when(after.isin("", "-", "–", "—"), F.lit(0)).otherwise(after.try_cast("int"))
-    score_before = F.regexp_extract(x, before, 1).try_cast("int")
+    score_before = _number(F.regexp_extract(x, before, 1))
     fits_after, fits_before = after_name != "", F.regexp_extract(x, before, 2) != ""
     name = F.when(fits_after, after_name).when(fits_before, F.regexp_extract(x, before, 2))
     score = F.when(fits_after, score_after).when(fits_before, score_before)
@@ -50,7 +55,7 @@ def player(x: Column) -> Column:
             ident.alias("id"),
             F.trim(F.regexp_replace(name, r"\(C\) *$", "")).alias("name"),
             name.rlike(r"\(C\) *$").alias("captain"),
-            F.regexp_extract(x, "<b>([0-9]+)</b>", 1).try_cast("int").alias("shirt"),
+            _number(F.regexp_extract(x, "<b>([0-9]+)</b>", 1)).alias("shirt"),
             x.rlike('class="inactive').alias("inactive"),
         ),
     )
@@ -58,7 +63,7 @@ def player(x: Column) -> Column:
 
 def score(x: Column) -> Column:
     """'2 - 1' to (2, 1), anything else to null."""
-    side = lambda i: F.regexp_extract(x, r"^ *([0-9]{1,2}) *- *([0-9]{1,2}) *$", i).try_cast("int")
+    side = lambda i: _number(F.regexp_extract(x, r"^ *([0-9]{1,2}) *- *([0-9]{1,2}) *$", i))
     return F.when(side(1).isNotNull(), F.struct(side(1).alias("home"), side(2).alias("away")))
 
 

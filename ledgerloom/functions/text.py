@@ -69,7 +69,7 @@ def names_match(a: Column, b: Column) -> Column:
 
 def minute(x: Column) -> Column:
     """'90+2' to (90, 2), '67' to (67, null), anything else to (null, null)."""
-    part = lambda i: F.regexp_extract(x, r"^[ ]*([0-9]{1,3})(?:\+([0-9]{1,2}))?", i).try_cast("int")
+    part = lambda i: F.nullif(F.regexp_extract(x, r"^[ ]*([0-9]{1,3})(?:\+([0-9]{1,2}))?", i), F.lit("")).try_cast("int")
     return F.struct(part(1).alias("minute"), part(2).alias("extra"))
 
 
@@ -85,7 +85,8 @@ def rating(x: Column) -> Column:
 
 def amount_in_thousands(x: Column) -> Column:
     """'8,00 M €' to 8000, '600 mil €' to 600, anything else to null."""
-    number = F.replace(F.regexp_extract(x, r"([0-9]+(?:,[0-9]+)?) *(M|mil)\b", 1), F.lit(","), F.lit(".")).try_cast("double")
+    number = F.replace(F.regexp_extract(x, r"([0-9]+(?:,[0-9]+)?) *(M|mil)\b", 1), F.lit(","), F.lit("."))
+    number = F.nullif(number, F.lit("")).try_cast("double")
     unit = F.regexp_extract(x, r"([0-9]+(?:,[0-9]+)?) *(M|mil)\b", 2)
     return F.bround(number * F.when(unit == "M", 1000).when(unit == "mil", 1), 0).cast("int")
 
@@ -98,7 +99,7 @@ def code(x: Column, table: dict[str, str], unknown: Column | None = None) -> Col
 
 def season_start(x: Column) -> Column:
     """'2025/26' to 2025."""
-    return F.regexp_extract(x, "((?:19|20)[0-9]{2})", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(x, "((?:19|20)[0-9]{2})", 1), F.lit("")).try_cast("int")
 
 
 def backoff(attempts: Column) -> Column:
