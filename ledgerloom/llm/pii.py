@@ -15,8 +15,8 @@ columns pass through `redact` and are left out by `find`.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,6 +83,20 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _outside(found: list[tuple[int, int, str]]):
+    """A test whether (start, end) overlaps none of the spans found."""
+    starts, ends = [], []
+    for a, b, _ in sorted(found):
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)  # the largest end so far
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
+
+    return free
+
+
 def _context(lower: str, kind: str, start: int, end: int) -> float:
     around = lower[max(0, start - NEAR) : start] + " " + lower[end : end + NEAR]
     return SCORE[kind] + (0.3 if any(w in around for w in CONTEXT[kind]) else 0.0)
@@ -107,8 +121,7 @@ def spans(text: str | None) -> list[tuple[int, int, str, float]]:
             for m in _PHONE.finditer(text):
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append((m.start(), m.end(), "phone"))
-        taken = [(a, b) for a, b, _ in found]
-        free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+        free = _outside(found)
         for m in _IBAN.finditer(text):
             a, b = m.span()
             while b - a >= 15 and not mod97(text[a:b]):  # a following word in capitals may have been taken in

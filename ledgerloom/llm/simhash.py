@@ -217,6 +217,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
         held: list = []
         for b in batches:
+            if not b.num_rows:
+                continue
             cols = tuple(np.asarray(b.column(k)).astype(np.int64) for k in range(3))
             held.append(cols)
             if sum(len(x[0]) for x in held) < 1 << 18 or cols[0][0] == cols[0][-1] and held[0][0][0] == cols[0][0]:
