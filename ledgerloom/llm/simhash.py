@@ -152,6 +152,7 @@ def _forest(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int, exc
     """Edges (member, root) of the links that have a home of their anchor at one end; anchors are sorted."""
     n = len(anchor)
     own = home(fp, excess) == anchor
+    bits = np.ascontiguousarray(fp).view(np.uint64)  # of a signed number numpy would count the bits of its absolute value
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if n else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([first, [n]]))
     parent = np.arange(n)
@@ -163,7 +164,7 @@ def _forest(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int, exc
         left = left[anchor[left + k] == anchor[left]]
         if not len(left):
             break
-        hit = left[(own[left] | own[left + k]) & (np.bitwise_count(fp[left] ^ fp[left + k]) <= limit)]
+        hit = left[(own[left] | own[left + k]) & (np.bitwise_count(bits[left] ^ bits[left + k]) <= limit)]
         pi.append(hit)
         pj.append(hit + k)
     for a, m in zip(first[length > _RUN], length[length > _RUN]):
@@ -172,7 +173,7 @@ def _forest(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int, exc
             front, todo = [todo[0]], todo[1:]
             while front and len(todo):
                 x = front.pop()
-                near = (np.bitwise_count(fp[x] ^ fp[todo]) <= limit) & (own[x] | own[todo])
+                near = (np.bitwise_count(bits[x] ^ bits[todo]) <= limit) & (own[x] | own[todo])
                 if near.any():
                     got = todo[near]
                     todo = todo[~near]
@@ -261,7 +262,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def group(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     fps = cut(fingerprints(docs, text, id_col, shingle))
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
+    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
     comps = components(links(nodes, threshold))
     named = cut(nodes.join(comps, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("root")))
     # A row without id has its fingerprint's component hidden again.

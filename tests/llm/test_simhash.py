@@ -74,7 +74,9 @@ def test_chains_and_dense_groups(spark):
     for _ in range(700):  # a dense group, larger than a run
         fps[centre ^ 1 << int(rng.integers(64)) ^ 1 << int(rng.integers(64))] = 1
     for _ in range(300):
-        fps[int(rng.integers(0, 1 << 63))] = 1
+        fps[int(rng.integers(0, 1 << 64, dtype=np.uint64))] = 1
+    for f in list(fps)[-200:]:  # the highest bit, alone and with another
+        fps[f ^ 1 << 63] = fps[f ^ 1 << 63 ^ 1 << int(rng.integers(63))] = 1
     fps = [(1000 - i, f) for i, f in enumerate(fps)]
     want = plain_components(fps)
     got = {r["id"]: r["root"] for r in S.components(S.links(_nodes(spark, fps))).collect()}
