@@ -123,9 +123,8 @@ def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter)
     changed = text[:start] + new + text[end:]
     shift = len(changed) - len(text)
     leaf, at = tree.leaf_at(max(0, start - CONTEXT))
-    stop, pieces = at, []
-    bound, last = at, leaf - 1  # the end of old leaf `last`
-    pos = at
+    pieces, pos = [], at
+    last, bound = leaf, at + int(tree.sums[tree.size + leaf, 0])  # an old leaf that is replaced, and its end
     for m in count.pattern.finditer(changed, at):
         pieces.append(m[0])
         pos = m.end()
@@ -138,7 +137,6 @@ def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter)
             break
     else:  # to the end of the text: all old leaves from here on are replaced
         last, pos = tree.size - 1, len(changed)
-    del stop
     for i in range(leaf + 1, last + 1):
         if tree.sums[tree.size + i, 0]:
             tree.set(i, 0, 0)

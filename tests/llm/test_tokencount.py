@@ -22,7 +22,7 @@ def whole(text):
     return len(count().encoding.encode_ordinary(text))
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=2500, deadline=None)
 @given(texts, st.lists(st.tuples(st.integers(-3, 420), st.integers(-3, 420), st.text(alphabet=ALPHABET, max_size=30)), max_size=5))
 def test_edits_equal_a_whole_count(text, edits):
     tree = T.Tree(*count().leaves(text)[:2])
@@ -32,6 +32,11 @@ def test_edits_equal_a_whole_count(text, edits):
         assert tree.tokens == whole(text) and tree.sums[1, 0] == len(text)
 
 
+def test_an_edit_before_the_first_leaf():
+    tree = T.Tree(*count().leaves("a")[:2])
+    assert T.edit(tree, "a", 0, 0, "1", count())[0] == "1a" and tree.tokens == whole("1a") and tree.sums[1, 0] == 2
+
+
 def test_only_the_region_is_encoded():
     text = "some words in a row " * 20_000
     tree = T.Tree(*count().leaves(text)[:2])
