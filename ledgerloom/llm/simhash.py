@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import cut, read, small_batches
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
@@ -56,18 +57,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return sum(1 << i for i in np.flatnonzero(ones * 2 > n).tolist())
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """id_col and fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+    """id_col and fp (the 64 bits as a signed long); with sets also sig, n and n_first: signature and sizes of the set of shingles."""
     small_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            cols = {"doc_id": b.column(0), "fp": pa.array(fp, pa.int64())}
+            if sets:
+                own = [shingles.tokens(t) for t in texts]
+                cols["sig"] = pa.array(np.array([shingles.signature(x) for x in own], np.uint64).view(np.int64))
+                cols["n"] = pa.array([len(x) for x in own], pa.int64())
+                cols["n_first"] = pa.array([int(shingles.in_first(x).sum()) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(work, f"doc_id {kind}, fp bigint")
+    return src.mapInArrow(work, f"doc_id {kind}, fp bigint" + (", sig bigint, n bigint, n_first bigint" if sets else ""))
 
 
 class Golay:
@@ -259,17 +267,32 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def group(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    fps = cut(fingerprints(docs, text, id_col, shingle))
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
-    comps = components(links(nodes, threshold))
-    named = cut(nodes.join(comps, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("root")))
+def group(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similar: bool = True) -> DataFrame:
+    """doc_id, fp, component_id for every row.
+
+    similar: texts also link whose sets of shingles are similar (see `shingles`), however far their fingerprints lie apart."""
+    fps = cut(fingerprints(docs, text, id_col, shingle, similar))
+    known = fps.where("doc_id is not null")
+    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
+    edges, keys = links(nodes, threshold), ["fp"]
+    if similar:
+        keys = ["fp", "sig"]
+        sets = cut(known.groupBy("sig").agg(F.min("doc_id").cast("long").alias("id"), F.first("n").alias("n"), F.first("n_first").alias("n_first")))
+        found = shingles.links(docs.where(F.col(id_col).isNotNull()).select(F.col(text).cast("string").alias("text")), sets.select("sig", "n", "n_first"))
+        for end in ("u", "v"):
+            found = found.join(sets.select(F.col("sig").alias(end), F.col("id").alias(f"{end}_id")), end)
+        edges = edges.unionByName(found.select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v")))
+        both = cut(known.groupBy("fp", "sig").agg(F.min("doc_id").cast("long").alias("id")))
+        for same, key in ((nodes, "fp"), (sets, "sig")):
+            edges = edges.unionByName(both.join(same.select(key, F.col("id").alias("v")), key).select(F.col("id").alias("u"), "v"))
+        nodes, edges = both, edges.where("u > v").distinct()
+    comps = components(edges)
+    named = cut(nodes.join(comps, "id", "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("root", "id").alias("root")))
     # A row without id has its fingerprint's component hidden again.
-    out = fps.join(named, F.col("fp") == F.col("_fp"), "left")
+    out = fps.join(named, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
-    out = group(read(spark, sf_dir, "documents"))
+    out = group(read(spark, sf_dir, "documents"), similar=False)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
