@@ -1,3 +1,4 @@
+import random
 import re
 
 from ledgerloom.llm import decontam as D
@@ -80,3 +81,36 @@ def test_edges(spark, edge_docs, no_docs):
     assert {(3, 1), (34, 1), (5, 2), (33, 2)} <= got
     assert D.overlaps(no_docs, bench).count() == 0
     assert D.overlaps(edge_docs, bench.where("item_id < 0")).count() == 0
+
+
+def whole(w, b):
+    """Any segment of any diagonal with 8 equal tokens or more at a share of 0.8 or more."""
+    for start in range(-len(b) + 1, len(w)):
+        eq = [w[start + k] == b[k] for k in range(max(0, -start), min(len(b), len(w) - start))]
+        if any(n >= 8 and 5 * n >= 4 * (j - i) for i in range(len(eq)) for j in range(i + 8, len(eq) + 1) for n in [sum(eq[i:j])]):
+            return True
+    return False
+
+
+def test_segments_below_the_best_score_and_every_place_of_a_substitution(spark):
+    w = prose(1, 40).split()
+    item = [f"{x}{k}" for k, x in enumerate(w)]  # no token twice
+    runs = {1: (7, 4), 2: (4, 5), 3: (4, 4, 4, 4, 4), 4: (3, 2, 3), 5: (2, 3, 3), 6: (3, 3, 2), 7: (3, 3, 3, 3), 8: (1, 7), 9: (3, 2, 2), 10: (2, 3, 2), 11: (7, 2), 12: (3, 1, 3, 3), 13: (6, 0, 2)}
+    docs = []
+    for i, lens in runs.items():
+        at, out = 3, ["before"] * 5
+        for k, n in enumerate(lens):
+            out += ([f"swap{k}"] if k else []) + item[at + bool(k) : at + bool(k) + n]
+            at += n + bool(k)
+        docs.append((i, " ".join(out + ["after"] * 5)))
+    rng = random.Random(7)
+    for i in range(100, 400):
+        n = rng.randrange(9, 24)
+        docs.append((i, " ".join(["before", *(x if rng.random() < 0.8 else "other" for x in item[5 : 5 + n]), "after"])))
+    want = {i for i, t in docs if whole(t.split(), item)}
+    got = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {1, 2, 3, 4, 5, 6, 7, 8, 11} <= want and not want & {9, 10} and len(want) > 100
+    assert {r["doc_id"] for r in got} == want
+    assert all(r["n_equal"] >= 8 and 5 * r["n_equal"] >= 4 * r["n_aligned"] for r in got)
+    one = {r["doc_id"]: (r["n_equal"], r["n_aligned"], r["doc_start"], r["item_start"]) for r in got}
+    assert one[1] == (11, 12, 5, 3) and one[2] == (9, 10, 5, 3) and one[3] == (8, 9, 5, 3)
