@@ -19,15 +19,14 @@ QUERIES = {
 
 SQL = {
     "op1_topk": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
-          SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-          FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+          SELECT q.rid, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+          FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.rid <> c.rid)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+          SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10""",
     "op7_chat": """
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
