@@ -38,7 +38,7 @@ K, SCALE, STEP = 10, 1024, 100
 #: Vectors of a shard, about, and the fewest shards; vectors of the sample for the threshold, and queries that meet one copy of it.
 SHARD, LEAST_SHARDS, SAMPLE, ASKED = 8192, 24, 8192, 64
 #: Steps of a dimension, parts of the postings between two proofs, and the part of a shard that may be scored exactly.
-LEVELS, PARTS, FEW = 64, 16, 0.09
+LEVELS, PARTS, FEW = 64, 10, 0.09
 _LONG = (1 << 63) - 1
 
 
@@ -93,9 +93,12 @@ class Index:
         sizes = np.abs(impact[order])
         counts = (self.bounds[1:] - self.bounds[:-1])[order]
         done = counts.cumsum()
+        most = float((np.abs(at) * self.size).sum())
+        # One sum for both accumulators: each posting adds its impact and ONE, more than all impacts together.
+        one = 2.0 ** np.ceil(np.log2(max(most, 1.0)) + 3)
         # Half a step in every dimension, and what rounding can add.
-        error = float((np.abs(at) * (self.width / 2)).sum()) * (1 + 1e-9) + 1e-12 * float((np.abs(at) * self.size).sum()) + 1e-6
-        acc, left = np.zeros(n), np.full(n, float(dims))
+        error = float((np.abs(at) * (self.width / 2)).sum()) * (1 + 1e-9) + dims * dims * one * 2.0**-52 + 1e-6
+        both = np.zeros(n)
         least = -np.inf if floor is None else float(floor)
         cuts = np.searchsorted(done, np.linspace(0, done[-1], PARTS + 1)[1:]) + 1
         begin = 0
@@ -103,19 +106,18 @@ class Index:
             chunk = order[begin:stop]
             if len(chunk):
                 each = counts[begin:stop]
-                pos = np.repeat(self.bounds[chunk] - np.concatenate([[0], each.cumsum()[:-1]]), each) + np.arange(each.sum())
-                rows = self.posts[pos]
-                acc += np.bincount(rows, np.repeat(impact[chunk], each), n)
-                left -= np.bincount(rows, minlength=n)
+                rows = self.posts[np.repeat(self.bounds[chunk] - (each.cumsum() - each), each) + np.arange(each.sum())]
+                both += np.bincount(rows, np.repeat(impact[chunk] + one, each), n)
                 self.seen["processed"] += len(rows)
                 begin = stop
-            if begin < len(order) and begin < len(order) // 5:
+            if begin < len(order) // 5:
                 continue  # too early for a proof
-            have = acc[alive]
+            met = np.rint(both[alive] / one)
+            have = both[alive] - met * one
             if len(alive) > k:  # a score that k vectors have
                 lead = alive[np.argpartition(-have, k - 1)[:k]]
                 least = max(least, float(min(self.scores(lead, q))))
-            rest = left[alive] * (sizes[begin] if begin < len(order) else 0.0)
+            rest = (dims - met) * (sizes[begin] if begin < len(order) else 0.0)
             alive = alive[have + rest + error >= least]
             if len(alive) <= few:
                 break
