@@ -2,17 +2,24 @@
 
 A text is split into pre-tokens by the tokenizer's pattern; merges never cross them, so
 a text's count is the sum over its pre-tokens. The state of a document is the list of
-its leaves, runs of LEAF pre-tokens with their characters and tokens; a segment tree over
-the leaves holds the sums. An edit (start, end, replacement; code points, held to the
-text) finds the leaf where it starts by descending the sums, splits and encodes anew from
-that leaf's start on the changed text, until a split meets the start of an old leaf
-behind the edit: from there on nothing can differ, as the pattern looks to the right
-only. The leaf is chosen so that CONTEXT characters lie between its start and the edit,
-more than the pattern looks ahead. Only the touched leaves and their ancestors change.
+its leaves, runs of about LEAF pre-tokens with their characters and tokens; a segment tree
+over the leaves holds the sums and each leaf its piece of the text, so that an edit copies
+and splits only what lies around it. An edit (start, end, replacement; code points, held to
+the text) finds the leaf where it starts by descending the sums, splits and encodes anew
+from that leaf's start, until a split meets the end of an old leaf behind the edit: from
+there on nothing can differ, as the pattern looks to the right only. The leaf is chosen so
+that CONTEXT characters lie between its start and the edit, more than the pattern looks ahead.
+
+The region is cut into leaves of LEAF pre-tokens again, a small one being joined with the
+next. Leaves stand in slots with gaps between them: where new leaves need more slots than
+the old ones had, the smallest subtree that is sparse enough is spread out evenly (or the
+tree doubled), so leaves keep their size however many edits fall on one place.
 
 Defined results: null and empty texts have no tokens; edits apply one after another,
 each to the text that the one before left; null edits are none, a null start is 0, a null
-end the start, a null replacement empty; rows repeat as they come; texts are counted whole.
+end the start, a null replacement empty; rows repeat as they come; texts are counted whole;
+an empty table gives no rows; of the other columns those in `keep` pass, but for names that
+the result adds (`text`, `leaves`, `edits`, the counts): these can't be kept.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import free, read, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -76,25 +83,48 @@ def counter(ranks: bytes) -> Counter:
 
 
 class Tree:
-    """Sums of characters and tokens over leaves; node i has the children 2i and 2i+1."""
-
-    def __init__(self, chars, tokens):
-        n = max(1, len(chars))
-        self.size = 1 << (n - 1).bit_length()
-        self.sums = np.zeros((2 * self.size, 2), np.int64)
-        self.sums[self.size : self.size + len(chars), 0] = chars
-        self.sums[self.size : self.size + len(tokens), 1] = tokens
-        level = self.size
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
-            level //= 2
+    """Characters, tokens and number of leaves, summed over slots; node i has the children 2i and 2i+1."""
+
+    def __init__(self, text: str = "", chars=(), tokens=()):
+        chars, tokens = np.asarray(chars, np.int64), np.asarray(tokens, np.int64)
+        ends = chars.cumsum().tolist()
+        self._lay([text[a:b] for a, b in zip([0, *ends], ends)], tokens)
+
+    def _lay(self, texts: list[str], tokens) -> None:
+        """All leaves, spread out evenly over twice as many slots at most."""
+        n = len(texts)
+        self.size = 1 << max(0, (n + n // 3 - 1)).bit_length() if n else 1
+        self.texts, self.sums = [""] * self.size, np.zeros((2 * self.size, 3), np.int64)
+        self._put(0, self.size, texts, tokens)
+
+    def _put(self, a: int, b: int, texts: list[str], tokens) -> None:
+        """These leaves and no others in the slots from a to b; then the sums above."""
+        n = len(texts)
+        at = (a + np.arange(n) * (b - a) // max(1, n)).tolist()
+        self.texts[a:b] = [""] * (b - a)
+        rows = self.sums[self.size + a : self.size + b]
+        rows[:] = 0
+        for i, t, k in zip(at, texts, tokens):
+            self.texts[i] = t
+            rows[i - a] = (len(t), k, 1)
+        low, high = self.size + a, self.size + b
+        while low > 1:
+            low, high = low // 2, (high + 1) // 2
+            self.sums[low:high] = self.sums[2 * low : 2 * high].reshape(-1, 2, 3).sum(1)
 
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    @property
+    def chars(self) -> int:
+        return int(self.sums[1, 0])
+
+    def text(self) -> str:
+        return "".join(self.texts)
+
     def leaf_at(self, position: int) -> tuple[int, int]:
-        """(leaf, its start): the leaf that holds the position, or the last one."""
+        """(slot, its start): the leaf that holds the position, or the last one."""
         node, start = 1, 0
         while node < self.size:
             left = int(self.sums[2 * node, 0])
@@ -104,44 +134,100 @@ class Tree:
                 start, node = start + left, 2 * node + 1
         return node - self.size, start
 
-    def set(self, leaf: int, chars: int, tokens: int) -> None:
-        node = leaf + self.size
-        change = np.array([chars, tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += change
+    def after(self, slot: int) -> int | None:
+        """The next slot that holds a leaf."""
+        node = slot + self.size
+        while node > 1 and (node % 2 or not self.sums[node + 1, 0]):
             node //= 2
+        if node <= 1:
+            return None
+        node += 1
+        while node < self.size:
+            node = 2 * node if self.sums[2 * node, 0] else 2 * node + 1
+        return node - self.size
+
+    def splice(self, first: int, last: int, texts: list[str], tokens: list[int]) -> None:
+        """The leaves in the slots first to last give way to these."""
+        a, b = first, last + 1
+        if len(texts) > b - a:  # too few slots: the smallest subtree around that stays sparse
+            level = 1
+            while True:
+                level *= 2
+                if level > self.size:
+                    break
+                a, b = first // level * level, -(-(last + 1) // level) * level
+                if b - a == level and self._within(a, first) + len(texts) + self._within(last + 1, b) <= 3 * level // 4:
+                    break
+            a, b = (0, self.size) if level > self.size else (a, b)
+            texts = [*filter(None, self.texts[a:first]), *texts, *filter(None, self.texts[last + 1 : b])]
+            old = lambda x, y: self.sums[self.size + x : self.size + y]
+            left, right = old(a, first), old(last + 1, b)
+            tokens = [*left[left[:, 2] > 0, 1].tolist(), *tokens, *right[right[:, 2] > 0, 1].tolist()]
+            if level > self.size:
+                self._lay(texts, tokens)
+                return
+        self._put(a, b, texts, tokens)
+
+    def _within(self, a: int, b: int) -> int:
+        return int(self.sums[self.size + a : self.size + b, 2].sum())
 
     def leaves(self) -> np.ndarray:
         out = self.sums[self.size :]
-        return out[out[:, 0] > 0]
-
-
-def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter) -> tuple[str, int]:
-    """Applies one edit to the tree: (changed text, pre-tokens encoded anew)."""
-    start = min(max(start, 0), len(text))
-    end = min(max(end, start), len(text))
-    changed = text[:start] + new + text[end:]
-    shift = len(changed) - len(text)
-    leaf, at = tree.leaf_at(max(0, start - CONTEXT))
-    pieces, pos = [], at
-    last, bound = leaf, at + int(tree.sums[tree.size + leaf, 0])  # an old leaf that is replaced, and its end
-    for m in count.pattern.finditer(changed, at):
-        pieces.append(m[0])
-        pos = m.end()
-        if pos < start + len(new):
-            continue
-        while bound < pos - shift and last + 1 < tree.size:
-            last += 1
-            bound += int(tree.sums[tree.size + last, 0])
-        if bound == pos - shift and bound >= end:
-            break
-    else:  # to the end of the text: all old leaves from here on are replaced
-        last, pos = tree.size - 1, len(changed)
-    for i in range(leaf + 1, last + 1):
-        if tree.sums[tree.size + i, 0]:
-            tree.set(i, 0, 0)
-    tree.set(leaf, pos - at, sum(count.count(pieces)))
-    return changed, len(pieces)
+        return out[out[:, 2] > 0, :2]
+
+
+def edit(tree: Tree, start: int, end: int, new: str, count: Counter) -> int:
+    """Applies one edit to the tree: the number of pre-tokens encoded anew."""
+    start = min(max(start, 0), tree.chars)
+    end = min(max(end, start), tree.chars)
+    first, at = tree.leaf_at(max(0, start - CONTEXT))
+    parts, last, bound = [tree.texts[first]], first, at + len(tree.texts[first])  # the leaves taken in, and their end
+    ends = {bound: first}
+    following = tree.after(first)
+
+    def take() -> str:
+        nonlocal last, bound, following
+        last = following
+        bound += len(tree.texts[last])
+        ends[bound] = last
+        following = tree.after(last)
+        return tree.texts[last]
+
+    while bound < end and following is not None:
+        parts.append(take())
+    old = "".join(parts)
+    text = old[: start - at] + new + old[end - at :]
+    shift, behind = len(new) - (end - start), start - at + len(new)
+    pieces, pos, done = [], 0, False
+    while not done:
+        for m in count.pattern.finditer(text, pos):
+            if following is not None and m.end() + CONTEXT > len(text):
+                break  # what follows may still change it
+            pieces.append(m[0])
+            pos = m.end()
+            if pos >= behind and (slot := ends.get(at + pos - shift)) is not None and (len(pieces) >= LEAF // 2 or tree.after(slot) is None):
+                last, done = slot, True
+                break
+        if not done:
+            if following is None:
+                break  # the end of the text: all leaves from the first on are replaced
+            text += "".join([take() for _ in range(max(1, len(text) // 4096)) if following is not None])
+    tokens = count.count(pieces)
+    leaves = max(1, (len(pieces) + LEAF // 2) // LEAF) if pieces else 0
+    cuts = [len(pieces) * i // leaves for i in range(leaves + 1)] if leaves else []
+    tree.splice(first, last, ["".join(pieces[a:b]) for a, b in zip(cuts, cuts[1:])], [sum(tokens[a:b]) for a, b in zip(cuts, cuts[1:])])
+    return len(pieces)
+
+
+def edited(tree: Tree, edits: list[dict | None] | None, count: Counter) -> tuple[int, int]:
+    """Applies edits in order: (their number, pre-tokens encoded anew)."""
+    n = again = 0
+    for e in edits or []:
+        if e is not None:
+            start = e["start"] or 0
+            again += edit(tree, start, start if e["end"] is None else e["end"], e["text"] or "", count)
+            n += 1
+    return n, again
 
 
 def load(path: str = RANKS) -> bytes:
@@ -186,14 +272,9 @@ def apply_edits(state: DataFrame, ranks: bytes, keep: list[str], with_state: boo
             cols: list[list] = [[], [], [], [], []]
             for i, (text, edits) in enumerate(zip(b.column(at).to_pylist(), b.column(at + 2).to_pylist())):
                 values = b.column(at + 1)[i].values
-                tree = Tree(np.asarray(values.field("chars")), np.asarray(values.field("tokens"))) if values is not None else Tree([], [])
-                text, n, again = text or "", 0, 0
-                for e in edits or []:
-                    if e is not None:
-                        start = e["start"] or 0
-                        text, k = edit(tree, text, start, start if e["end"] is None else e["end"], e["text"] or "", c)
-                        n, again = n + 1, again + k
-                row = [n, tree.tokens, again, text, [{"chars": int(x), "tokens": int(y)} for x, y in tree.leaves()] if with_state else None]
+                tree = Tree(text or "", np.asarray(values.field("chars")), np.asarray(values.field("tokens"))) if values is not None else Tree()
+                n, again = edited(tree, edits, c)
+                row = [n, tree.tokens, again, tree.text() if with_state else None, [{"chars": int(x), "tokens": int(y)} for x, y in tree.leaves()] if with_state else None]
                 for col, x in zip(cols, row):
                     col.append(x)
             arrays = [pa.array(x, pa.int64()) for x in cols[:3]] + ([pa.array(cols[3], pa.string()), pa.array(cols[4], leaf)] if with_state else [])
@@ -203,12 +284,36 @@ def apply_edits(state: DataFrame, ranks: bytes, keep: list[str], with_state: boo
     return state.select(*keep, "text", "leaves", "edits").mapInArrow(work, f"{fields}, n_edits long, n_tokens_after long, n_reencoded long" + (f", text string, {_STATE}" if with_state else ""))
 
 
+def count_edited(docs: DataFrame, ranks: bytes, keep: list[str], text: str = "text", edits: str = "edits") -> DataFrame:
+    """`build` and `apply_edits` in one pass, without the state: keep, n_tokens, n_pretokens, n_edits, n_tokens_after, n_reencoded."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    at, names = len(keep), ["n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_reencoded"]
+
+    def work(batches):
+        c = counter(shared.value)
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            for t, todo in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist()):
+                chars, tokens, n = c.leaves(t or "")
+                tree = Tree(t or "", chars, tokens)
+                before = tree.tokens
+                done, again = edited(tree, todo, c)
+                for col, x in zip(cols, (before, n, done, tree.tokens, again)):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array(x, pa.int64()) for x in cols)], names=[*keep, *names])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    src = docs.select(*keep, F.col(text).cast("string").alias(free(docs, "_t")), F.col(edits).alias(free(docs, "_e")))
+    return src.mapInArrow(work, fields + ", " + ", ".join(f"{x} long" for x in names))
+
+
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
     """Counts of every document, and after three edits: ten characters at a third are cut,
     a word is put in at half, a line is added at the end."""
-    ranks = load()
-    state = build(read(spark, sf_dir, "documents"), ranks, ["doc_id"])
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     one = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(t).alias("text"))
-    state = state.withColumn("edits", F.array(one(F.floor(n / 3), F.floor(n / 3) + 10, ""), one(F.floor(n / 2), F.floor(n / 2), " edited"), one(n, n, "\nEnd.")))
-    return apply_edits(state, ranks, ["doc_id", "n_tokens", "n_pretokens"])
+    docs = docs.withColumn("edits", F.array(one(F.floor(n / 3), F.floor(n / 3) + 10, ""), one(F.floor(n / 2), F.floor(n / 2), " edited"), one(n, n, "\nEnd.")))
+    out = count_edited(docs, load(), ["doc_id"])
+    return out.select("doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_reencoded")

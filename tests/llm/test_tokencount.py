@@ -22,26 +22,93 @@ def whole(text):
     return len(count().encoding.encode_ordinary(text))
 
 
+def tree_of(text):
+    return T.Tree(text, *count().leaves(text)[:2])
+
+
+def held(tree, text):
+    assert tree.tokens == whole(text) and tree.text() == text and tree.chars == len(text)
+    leaves = tree.leaves()
+    assert leaves.sum(0).tolist() == [len(text), tree.tokens] and tree.sums[1, 2] == len(leaves)
+
+
 @settings(max_examples=2500, deadline=None)
-@given(texts, st.lists(st.tuples(st.integers(-3, 420), st.integers(-3, 420), st.text(alphabet=ALPHABET, max_size=30)), max_size=5))
-def test_edits_equal_a_whole_count(text, edits):
-    tree = T.Tree(*count().leaves(text)[:2])
-    assert tree.tokens == whole(text)
-    for start, end, new in edits:
-        text, _ = T.edit(tree, text, start, end, new, count())
-        assert tree.tokens == whole(text) and tree.sums[1, 0] == len(text)
+@given(texts, st.lists(st.tuples(st.integers(-3, 420), st.integers(-3, 420), st.text(alphabet=ALPHABET, max_size=30)), max_size=5), st.sampled_from([2, 5, 32]))
+def test_edits_equal_a_whole_count(text, edits, leaf):
+    kept, T.LEAF = T.LEAF, leaf
+    try:
+        tree = tree_of(text)
+        held(tree, text)
+        for start, end, new in edits:
+            T.edit(tree, start, end, new, count())
+            start = min(max(start, 0), len(text))
+            text = text[:start] + new + text[max(start, min(end, len(text))) :]
+            held(tree, text)
+    finally:
+        T.LEAF = kept
 
 
 def test_an_edit_before_the_first_leaf():
-    tree = T.Tree(*count().leaves("a")[:2])
-    assert T.edit(tree, "a", 0, 0, "1", count())[0] == "1a" and tree.tokens == whole("1a") and tree.sums[1, 0] == 2
+    tree = tree_of("a")
+    T.edit(tree, 0, 0, "1", count())
+    held(tree, "1a")
 
 
 def test_only_the_region_is_encoded():
     text = "some words in a row " * 20_000
-    tree = T.Tree(*count().leaves(text)[:2])
-    changed, again = T.edit(tree, text, 200_000, 200_010, "other", count())
-    assert again < 4 * T.LEAF and tree.tokens == whole(changed)
+    tree = tree_of(text)
+    again = T.edit(tree, 200_000, 200_010, "other", count())
+    assert again < 4 * T.LEAF
+    held(tree, text[:200_000] + "other" + text[200_010:])
+
+
+def test_appends_to_an_empty_text_split_leaves():
+    tree, text = tree_of(""), ""
+    for i in range(600):
+        new = f" word{i} and five more of them"
+        again = T.edit(tree, len(text), len(text), new, count())
+        text += new
+        assert again < 4 * T.LEAF + 10
+    held(tree, text)
+    assert len(tree.leaves()) > 100
+
+
+def test_inserts_at_one_place_split_leaves():
+    text = "left of it " * 300 + "right of it " * 300
+    tree = tree_of(text)
+    for i in range(300):
+        again = T.edit(tree, 3300, 3300, f"put {i} in ", count())
+        text = text[:3300] + f"put {i} in " + text[3300:]
+        assert again < 4 * T.LEAF + 10
+    held(tree, text)
+
+
+def test_a_paste_and_an_edit_inside_it():
+    text = "before it all and after it all"
+    tree, new = tree_of(text), "pasted words " * 20_000
+    T.edit(tree, 10, 10, new, count())
+    text = text[:10] + new + text[10:]
+    held(tree, text)
+    assert T.edit(tree, 100_000, 100_001, "x", count()) < 4 * T.LEAF
+    held(tree, text[:100_000] + "x" + text[100_001:])
+
+
+def test_cuts_join_small_leaves():
+    text = "a b c d e f " * 2000
+    tree = tree_of(text)
+    while len(text) > 100:
+        T.edit(tree, 40, 90, "", count())
+        text = text[:40] + text[90:]
+    held(tree, text)
+    assert len(tree.leaves()) < 8
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "some text", "kept")], "doc_id long, text string, leaf string").withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>"))
+    for c in ("n", "chars", "tokens", "_t", "_e"):
+        df = df.withColumn(c, F.lit("clash"))
+    row = T.count_edited(df, T.load(), ["doc_id", "leaf", "_t", "chars"]).first()
+    assert (row["n_tokens"], row["n_tokens_after"], row["leaf"], row["_t"]) == (2, 2, "kept", "clash")
 
 
 def test_query_against_brute_force(spark):
