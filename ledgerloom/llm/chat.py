@@ -20,7 +20,7 @@ occur inside: backslash, < and [ are escaped by a backslash and a letter, revers
 
 Conversations stream through a task sorted by (conv_id, turn): one conversation is in memory
 at a time. Rendering all prefixes costs turns x length a conversation, as the method says: 400
-turns of 80 characters take 20 ms, 4,000 take 2 s, and a conversation can't be split.
+turns of 60 characters take 0.4 s here, 4,000 take 32 s, and a conversation can't be split.
 
 Defined results: turns are ordered by turn (null first), then role, then text; null roles
 and texts are empty; a row without conv_id is a conversation of its own, with null id;

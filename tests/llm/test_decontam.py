@@ -69,6 +69,50 @@ def test_shuffle_way_gives_the_same(spark, monkeypatch):
     assert {tuple(r) for r in D.overlaps(docs, bench).collect()} == want
 
 
+def test_the_shuffle_carries_no_tokens(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEEDS", 0)
+    docs, bench = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.overlaps(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    at = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(seed" in x]
+    assert len(at) >= 2
+    for i in at:  # what is moved by hash: no array, no text
+        moved = re.search(r"\[([^\]]*)\]", lines[i + 1])
+        assert moved is None or not re.search(r"\b(a|b|text)#", moved[1]), lines[i + 1]
+
+
+def test_rows_that_share_an_id_or_have_none_on_both_ways(spark, monkeypatch):
+    item = prose(1, 40)
+    docs = spark.createDataFrame([(1, prose(8, 50)), (1, prose(9, 5) + " " + item), (None, item), (None, "nothing"), (2, item), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    want = sorted(map(tuple, D.overlaps(docs, bench).collect()), key=str)
+    assert {r[0] for r in want} == {None, 1, 2} and len(want) == 3
+    monkeypatch.setattr(D, "SEEDS", 0)
+    assert sorted(map(tuple, D.overlaps(docs, bench).collect()), key=str) == want
+
+
+def test_recall_by_rate_of_substitution(spark):
+    """Of overlaps of 10 to 40 tokens, those that the verification accepts are all found, at each rate."""
+    rng = random.Random(11)
+    item = [f"w{k}" for k in range(60)]
+    docs, want, made = [], {}, {}
+    for r, rate in enumerate((0.0, 0.05, 0.1, 0.15, 0.2)):
+        for i in range(300):
+            n, at = rng.randrange(10, 41), rng.randrange(0, 20)
+            text = ["x"] * 3 + [x if rng.random() >= rate else f"s{k}" for k, x in enumerate(item[at : at + n])] + ["y"] * 3
+            docs.append((r * 1000 + i, " ".join(text)))
+            made[rate] = made.get(rate, 0) + 1
+            if whole(text, item):
+                want.setdefault(rate, set()).add(r * 1000 + i)
+    got = {x["doc_id"] for x in D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == set().union(*want.values())
+    assert len(want[0.0]) == made[0.0] and len(want[0.1]) > 0.95 * made[0.1] and len(want[0.2]) > 0.7 * made[0.2]
+
+
 def test_no_python_in_the_plan(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark"))
     plan = D.overlaps(docs, bench)._jdf.queryExecution().toString()
