@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be long, so that a batch of Spark's default
-#: 10,000 rows could outgrow a worker.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, whichever comes first. Texts may be long, so that a
+#: batch of Spark's default 10,000 rows could outgrow a worker.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches unless the session asks for smaller ones already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches unless the session asks for smaller ones already.
+
+    Spark reads these settings when a plan runs, so they stay set for the session."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key, "-1").rstrip("bB") or -1) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,15 +2,17 @@
 
 Every kind has a proposer (a regular expression, anchored so that it is linear in
 the text), a validator where the kind has one (Luhn, mod-97, value ranges), a base
-score, and words that raise the score when they stand nearby. The four base kinds
-(email, ip, card, phone) are kept whenever they validate. The further kinds are
-kept at `THRESHOLD` and above: an iban validates by mod-97 and needs no context, a
-national number (3-2-4 digits) and a secret (a long token after a key-like name)
-have no checksum and need context.
+score, and words that move the score when they stand within NEAR characters: whole words,
+in any case, of the languages of WORDS. The nearest one that speaks for the kind adds up to
+RAISE, the nearest one that speaks against it (a sample, an order number) takes up to LOWER,
+either one the less the farther off it stands. The four base kinds (email, ip, card, phone)
+are kept whenever they validate, with their score. The further kinds are kept at `THRESHOLD`
+and above: an iban validates by mod-97, a national number (3-2-4 digits) and a secret (a
+long token of letters and digits) have no checksum and need a word nearby.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned
-whole; offsets are code points, the end exclusive; rows repeat as they come; extra
-columns pass through `redact` and are left out by `find`.
+whole; offsets are code points, the end exclusive; rows repeat as they come; an empty
+table gives no rows; extra columns pass through `redact` and are left out by `find`.
 """
 
 from __future__ import annotations
@@ -28,17 +30,28 @@ KINDS = ("email", "ip", "card", "phone", "iban", "national", "secret")
 BASE = KINDS[:4]
 #: Score from which a span of a further kind counts, and characters of context on either side.
 THRESHOLD, NEAR = 0.6, 48
-#: The letters of a local part, base scores, context words.
+#: What the nearest word for a kind adds and the nearest against it takes, side by side with the span.
+RAISE, LOWER = 0.4, 0.3
+#: The letters of a local part, base scores, words for a kind (en, de, fr, es, pt) and against it.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "national": 0.4, "secret": 0.4}
-CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "bank", "account", "transfer"),
-    "national": ("ssn", "social security", "national id", "insurance number"),
-    "secret": ("token", "secret", "password", "api key", "api_key", "apikey"),
+SCORE = {"email": 0.7, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.7, "national": 0.4, "secret": 0.4}
+WORDS = {
+    "email": "mail e-mail email contact write kontakt schreiben courriel contacter correo contacto escribir contato",
+    "ip": "ip host server address adresse serveur servidor dirección endereço",
+    "card": "card visa mastercard credit payment karte kreditkarte zahlung carte paiement tarjeta pago cartão pagamento",
+    "phone": "phone call tel telephone mobile fax telefon anruf handy téléphone appeler portable teléfono llamar móvil telefone ligar",
+    "iban": "iban bank account transfer konto überweisung banque compte virement banco cuenta transferencia conta",
+    "national": "ssn social_security national_id insurance_number sozialversicherungsnummer versicherungsnummer ausweis sécurité_sociale numéro_national seguridad_social dni documento_nacional segurança_social identidade",
+    "secret": "token secret password passwd pwd api_key apikey access_key private_key credential credentials passwort kennwort geheimnis schlüssel mot_de_passe jeton clé contraseña clave secreto senha segredo chave",
+}
+AGAINST = {
+    "email": "example sample beispiel exemple ejemplo exemplo",
+    "ip": "version release ausgabe versión versão",
+    "card": "order invoice serial tracking bestellung rechnung commande facture pedido factura fatura",
+    "phone": "order invoice serial bestellung rechnung commande facture pedido factura fatura",
+    "iban": "example sample beispiel exemple ejemplo exemplo",
+    "national": "order invoice serial part shipment bestellung rechnung lieferung commande facture pedido factura",
+    "secret": "checksum commit sha1 sha256 md5 digest prüfsumme",
 }
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -48,10 +61,20 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,128}(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _whole(words: str) -> re.Pattern:
+    """Any of the words, whole; a low line between words stands for a blank, a dash, a low line or nothing."""
+    each = "|".join(re.escape(w).replace("_", r"[\x20_-]?") for w in sorted(words.split(), key=len, reverse=True))
+    return re.compile(rf"(?<![^\W_])(?:{each})(?![^\W_])", re.IGNORECASE)
+
+
+_FOR, _NOT = ({k: _whole(w) for k, w in x.items()} for x in (WORDS, AGAINST))
+_LONGEST = 32  # a word that begins nearby may end so many characters later
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -97,9 +120,21 @@ def _outside(found: list[tuple[int, int, str]]):
     return free
 
 
-def _context(lower: str, kind: str, start: int, end: int) -> float:
-    around = lower[max(0, start - NEAR) : start] + " " + lower[end : end + NEAR]
-    return SCORE[kind] + (0.3 if any(w in around for w in CONTEXT[kind]) else 0.0)
+def _nearest(pattern: re.Pattern, text: str, start: int, end: int) -> float:
+    """1 where such a word stands side by side with the span, half at NEAR characters, 0 beyond."""
+    gap = None
+    for m in pattern.finditer(text, max(0, start - NEAR - _LONGEST), start):
+        if start - m.end() <= NEAR and not (m.end() == start and text[start].isalnum()):
+            gap = start - m.end()  # the last one is the nearest
+    m = pattern.search(text, end, min(len(text), end + NEAR + _LONGEST))
+    if m and m.start() - end <= NEAR and (gap is None or m.start() - end < gap):
+        gap = m.start() - end
+    return 0.0 if gap is None else 1 - gap / (2 * NEAR)
+
+
+def _context(text: str, kind: str, start: int, end: int) -> float:
+    score = SCORE[kind] + RAISE * _nearest(_FOR[kind], text, start, end) - LOWER * _nearest(_NOT[kind], text, start, end)
+    return round(min(1.0, max(0.0, score)), 3)
 
 
 def spans(text: str | None) -> list[tuple[int, int, str, float]]:
@@ -131,13 +166,9 @@ def spans(text: str | None) -> list[tuple[int, int, str, float]]:
                 found.append((a, b, "iban"))
         found += [(*m.span(), "national") for m in _NATIONAL.finditer(text) if free(*m.span())]
         found += [(*m.span(), "secret") for m in _SECRET.finditer(text) if _DIGIT.search(m[0]) and not m[0].isdigit()]
-    lower = None
     out = []
     for a, b, kind in found:
-        if lower is None:
-            lower = text.lower()
-            lower = lower if len(lower) == len(text) else text  # lower-casing may lengthen a text
-        score = min(1.0, _context(lower, kind, a, b))
+        score = _context(text, kind, a, b)
         if kind in BASE or score >= THRESHOLD:
             out.append((a, b, kind, score))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
@@ -184,7 +215,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, digest and text form of the spans that `find` gives."""
+    """Counts, digest, text form and scores (in the order of the spans) of what `find` gives."""
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     of_kind = lambda k: lambda x: x["kind"] == k
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
@@ -193,6 +224,7 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *[F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.concat_ws(",", F.transform(base, said)).cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("found", said)).alias("spans"),
+        F.concat_ws(",", F.transform("found", lambda x: x["score"].cast("string"))).alias("scores"),
     )
 
 

@@ -51,6 +51,27 @@ def test_further_kinds():
     assert "secret" in kinds('token = "f33e61083db5dbdf4bd2369d2fab12"') and "secret" not in kinds("hash f33e61083db5dbdf4bd2369d2fab12")
 
 
+def test_context_words():
+    kinds = lambda t: [k for *_, k, _ in pii.spans(t)]
+    score = lambda t: pii.spans(t)[0][3]
+    key = "f33e61083db5dbdf4bd2369d2fab12"
+    for said in ("contraseña:", "senha segredo", "mot de passe", "Kennwort", "API-Key", "api_key =", "APIKEY"):
+        assert kinds(f"{said} {key}") == ["secret"], said
+    assert kinds(f"token {key * 10}") == ["secret"]  # of any length
+    assert kinds("shipment 123-45-6789 for the classn") == [] and kinds("the passwords123 " + key) == []  # whole words only
+    assert kinds("İ SSN: 123-45-6789") == ["national"]  # a letter whose lower case is longer
+    assert kinds("ssn 123-45-6789") == ["national"] and kinds("ssn of the order 123-45-6789") == []  # a word against it, nearer
+    assert kinds("ssn " + "x" * 60 + " 123-45-6789") == []  # too far off
+    assert score("card 4111111111111111") > score("card, it is said, 4111111111111111") > score("4111111111111111") > score("invoice 4111111111111111")
+    assert score("4111111111111111 visa") > score("4111111111111111")
+
+
+def test_scores_of_the_query(spark):
+    df = spark.createDataFrame([(1, "card 4111111111111111 a@b.cd"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.digests(pii.find(df)).collect()}
+    assert got == {1: ("card:5:21,email:22:28", "0.996,0.7"), 2: ("", "")}
+
+
 def test_many_spans_are_linear():
     text = "ssn 123-45-6789, card 4111111111111111; "
     got = pii.spans(text * 20_000)
