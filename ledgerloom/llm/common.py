@@ -21,9 +21,12 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches unless the session asks for smaller ones already.
 
     Spark reads these settings when a plan runs, so they stay set for the session."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(spark.conf.get(key, "-1").rstrip("bB") or -1) <= most:
+        now = spark.conf.get(key).lower()
+        number = now.rstrip("kmgb")
+        if not 0 < int(number) * units[now[len(number) :]] <= most:
             spark.conf.set(key, str(most))
 
 
