@@ -56,9 +56,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there: computed once, and
-    safe from the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    safe from the loss of an executor. The shuffle files that it took are deleted at once."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:  # a frame of its own, which nothing runs a second time
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, a written frame of narrow rows, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def fold(doc_id, modulus: int):

@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import bounded, cut, small_batches
 
 WORDS, SHARE, SEED = 5, (4, 5), 42
-BLOCK, BLOCKS, PARTS = 64, 32, 3
+BLOCK, BLOCKS, PARTS = 64, 32, 4
+#: Signatures (8 bytes each and an entry in a hash table) that may be broadcast.
+KNOWN = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -59,13 +61,19 @@ def in_first(tokens: np.ndarray) -> np.ndarray:
 
 
 def _spread(texts: DataFrame, first: bool) -> DataFrame:
-    """(sig, hs) for every text: its tokens of the first part or of the others."""
+    """(sig, hs) for every text: its tokens of the first part or of the others. Copies within a task are left out."""
 
     def work(batches):
+        seen: set[int] = set()
         for b in batches:
-            sets = [tokens(t) for t in b.column(0).to_pylist()]
-            sig = np.array([signature(s) for s in sets], np.uint64).view(np.int64)
-            sets = [s[in_first(s) == first] for s in sets]
+            new = {}
+            for t in b.column(0).to_pylist():
+                own = tokens(t)
+                if (k := signature(own)) not in seen:
+                    seen.add(k)
+                    new[k] = own
+            sig = np.array(list(new), np.uint64).view(np.int64)
+            sets = [s[in_first(s) == first] for s in new.values()]
             flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
             at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.ListArray.from_arrays(at, flat)], names=["sig", "hs"])
@@ -146,7 +154,7 @@ def links(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     one = _shared(_spread(texts, True))
     left = sizes.join(one.groupBy("sig").agg(F.count("*").alias("k")), "sig", "left")
     left = cut(left.where(F.col("n_first") - F.coalesce("k", F.lit(0)) <= F.col("n") - need).select("sig", "n"))
-    two = _shared(_spread(texts, False).join(left.select("sig"), "sig", "left_semi"))
+    two = _shared(_spread(texts, False).join(bounded(left.select("sig"), KNOWN), "sig", "left_semi"))
     shared = one.unionByName(two)
     held = shared.groupBy("sig").agg(F.count("*").alias("k")).join(left, "sig").where(F.col("k") >= need)
     held = cut(held.select("sig", "n", (F.col("k") - need + 1).alias("p")))

@@ -3,20 +3,23 @@
 Fingerprints of 64 bits link when they differ in at most THRESHOLD bits. The anchors
 are the codewords of a covering code: on each of two blocks of 23 bits the perfect
 Golay code, whose 4,096 words cover the block with radius 3; so 2**24 anchors cover
-46 of the 64 bits. A fingerprint's home is the anchor nearest to it in each block. It
-is replicated to every anchor that lies within radius 3 plus its share of the
+46 of the 64 bits. Beyond THIRD distinct fingerprints a perfect Hamming code covers 15 bits
+more (radius 1, 2,048 words), so that 2**35 anchors keep the runs of an anchor short, for 2.5
+times the replicas. A fingerprint's home is the anchor nearest to it in each block. It
+is replicated to every anchor that lies within the radius plus its share of the
 threshold in each block (shares summing to THRESHOLD at most). If x and y differ in
-at most THRESHOLD bits, they do so in the blocks together, so y lies within 3 plus
+at most THRESHOLD bits, they do so in the blocks together, so y lies within the radius plus
 its share of x's home in each block: both are at x's home, and comparing every
 fingerprint with the homes of an anchor finds each link. No cap is set anywhere.
 
 Equal fingerprints are grouped first, so copies are never paired. Within an anchor
 only a spanning forest of the links found is emitted; components are found by
-alternating large-star and small-star steps, all in DataFrames.
+alternating large-star and small-star steps, all in DataFrames, until nothing changes.
 
-Defined results: null and empty texts have fingerprint zero and link like any other;
-a row without doc_id has a fingerprint but takes no part in links (its component is
-null); rows repeat as they come; the length of a text has no bound.
+Defined results: null and empty texts have fingerprint zero and link like any other; a row
+without doc_id links like any other, and the smallest id of its class is that of the rows
+that have one (null if none has); rows repeat as they come; the length of a text has no
+bound; an empty table gives no rows; columns other than the id and the text don't matter.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, read, small_batches
+from .common import bounded, cut, read, small_batches
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
 _CHUNK = 1 << 14
+#: Distinct fingerprints from which a third block is covered; class members (16 bytes each and an entry in a hash table) that may be broadcast.
+THIRD, CLASSED = 1 << 24, 500_000
 #: Runs of an anchor beyond this are searched outward from their members instead of pair by pair.
 _RUN = 256
 
@@ -58,7 +63,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
-    """id_col and fp (the 64 bits as a signed long); with sets also sig, n and n_first: signature and sizes of the set of shingles."""
+    """doc_id (what id_col holds) and fp (the 64 bits as a signed long); with sets also sig, n and n_first: signature and sizes of the set of shingles."""
     small_batches(docs.sparkSession)
 
     def work(batches):
@@ -78,28 +83,27 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
     return src.mapInArrow(work, f"doc_id {kind}, fp bigint" + (", sig bigint, n bigint, n_first bigint" if sets else ""))
 
 
-class Golay:
-    """The perfect binary code of length 23: 12 bits chosen, 11 of check, radius 3."""
+class Code:
+    """A perfect cyclic code: n bits, of which `check` low ones follow from the others by the polynomial."""
 
-    N, CHECK, POLY, RADIUS = 23, 11, 0xC75, 3
-
-    def __init__(self, excess: int):
+    def __init__(self, n: int, check: int, poly: int, radius: int, excess: int):
+        self.n, self.check = n, check
         unit = []
-        for i in range(self.N):
+        for i in range(n):
             x = 1 << i
-            for b in range(self.N - 1, self.CHECK - 1, -1):
+            for b in range(n - 1, check - 1, -1):
                 if x >> b & 1:
-                    x ^= self.POLY << (b - self.CHECK)
+                    x ^= poly << (b - check)
             unit.append(x)
-        #: Syndromes of the low 12 and the high 11 bits.
+        #: Syndromes of the low 12 and the high bits.
         self.low, self.high = self._table(unit[:12]), self._table(unit[12:])
-        near: list[list[tuple[int, int]]] = [[] for _ in range(1 << self.CHECK)]
-        for w in range(self.RADIUS + excess + 1):
-            for bits in itertools.combinations(range(self.N), w):
+        near: list[list[tuple[int, int]]] = [[] for _ in range(1 << check)]
+        for w in range(radius + excess + 1):
+            for bits in itertools.combinations(range(n), w):
                 s = 0
                 for i in bits:
                     s ^= unit[i]
-                near[s].append((max(0, w - self.RADIUS), sum(1 << i for i in bits)))
+                near[s].append((max(0, w - radius), sum(1 << i for i in bits)))
         #: For each syndrome the error patterns that lead to anchors, by their excess over the radius.
         self.errors = [[np.array([e for x, e in rows if x == k], np.int64) for rows in near] for k in range(excess + 1)]
         self.leader = np.array([rows[0][1] for rows in near], np.int64)
@@ -115,51 +119,55 @@ class Golay:
         return self.low[x & 0xFFF] ^ self.high[x >> 12]
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        return (x ^ self.leader[self.syndrome(x)]) >> self.CHECK
+        return (x ^ self.leader[self.syndrome(x)]) >> self.check
 
 
-_CODES: dict[int, Golay] = {}
+#: Bits, check bits, polynomial and radius of the binary Golay code of length 23 and the Hamming code of length 15.
+GOLAY, HAMMING = (23, 11, 0xC75, 3), (15, 4, 0x13, 1)
+_CODES: dict[tuple, Code] = {}
 
 
-def _code(excess: int) -> Golay:
-    if excess not in _CODES:
-        _CODES[excess] = Golay(excess)
-    return _CODES[excess]
+def _code(kind: tuple, excess: int) -> Code:
+    if (kind, excess) not in _CODES:
+        _CODES[kind, excess] = Code(*kind, excess)
+    return _CODES[kind, excess]
 
 
-def _blocks(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return fp & 0x7FFFFF, fp >> 23 & 0x7FFFFF
+def _blocks(fp: np.ndarray, third: bool, excess: int) -> list[tuple[Code, np.ndarray]]:
+    golay = _code(GOLAY, excess)
+    out = [(golay, fp & 0x7FFFFF), (golay, fp >> 23 & 0x7FFFFF)]
+    return [*out, (_code(HAMMING, excess), fp >> 46 & 0x7FFF)] if third else out
 
 
-def home(fp: np.ndarray, excess: int = THRESHOLD) -> np.ndarray:
-    code = _code(excess)
-    a, b = _blocks(fp)
-    return code.home(a) << 12 | code.home(b)
+def home(fp: np.ndarray, excess: int = THRESHOLD, third: bool = False) -> np.ndarray:
+    out = np.zeros(len(fp), np.int64)
+    for code, x in _blocks(fp, third, excess):
+        out = out << (code.n - code.check) | code.home(x)
+    return out
 
 
-def anchors(fp: np.ndarray, excess: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, excess: int = THRESHOLD, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, anchor) for every anchor within the radius plus the threshold."""
-    code = _code(excess)
-    a, b = _blocks(fp)
-    sa, sb = code.syndrome(a), code.syndrome(b)
+    blocks = [(code, x, code.syndrome(x)) for code, x in _blocks(fp, third, excess)]
     at, out = [], []
     for i in range(len(fp)):
-        for ka in range(excess + 1):
-            left = (a[i] ^ code.errors[ka][sa[i]]) >> code.CHECK
-            if not len(left):
-                continue
-            right = np.concatenate([code.errors[kb][sb[i]] for kb in range(excess - ka + 1)])
-            right = (b[i] ^ right) >> code.CHECK
-            both = (left[:, None] << 12 | right[None, :]).ravel()
-            at.append(np.full(len(both), i))
-            out.append(both)
+        had = [np.zeros(1, np.int64)]  # the words so far, by their share of the threshold
+        for code, x, s in blocks:
+            words = [(x[i] ^ code.errors[k][s[i]]) >> code.check for k in range(excess + 1)]
+            had = [
+                np.concatenate([(a[:, None] << (code.n - code.check) | words[k - j][None, :]).ravel() for j, a in enumerate(had[: k + 1])])
+                for k in range(excess + 1)
+            ]
+        both = np.concatenate(had)
+        at.append(np.full(len(both), i))
+        out.append(both)
     return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _forest(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int, excess: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(anchor: np.ndarray, fp: np.ndarray, limit: int, third: bool) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) of the links that have a home of their anchor at one end; anchors are sorted."""
     n = len(anchor)
-    own = home(fp, excess) == anchor
+    own = home(fp, limit, third) == anchor
     bits = np.ascontiguousarray(fp).view(np.uint64)  # of a signed number numpy would count the bits of its absolute value
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if n else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([first, [n]]))
@@ -202,25 +210,26 @@ def _forest(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int, exc
         if np.array_equal(parent, before):
             break
     member = np.flatnonzero(parent != np.arange(n))
-    return rep[member], rep[parent[member]]
+    return fp[member], fp[parent[member]]
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v), u > v: ids whose fingerprints link, enough of them to connect all that link.
+def links(nodes: DataFrame, threshold: int = THRESHOLD, third: bool | None = None) -> DataFrame:
+    """(u, v), u > v: fingerprints that link, enough of them to connect all that do.
 
-    nodes: id (long, distinct) and fp (distinct)."""
+    nodes: fp (distinct). third: whether a third block is covered (None: by their number)."""
+    third = nodes.count() > THIRD if third is None else third
 
     def spread(batches):
         for b in batches:
-            ids, fp = np.asarray(b.column(0)), np.asarray(b.column(1))
+            fp = np.asarray(b.column(0))
             for k in range(0, len(fp), 4096):
-                at, anchor = anchors(fp[k : k + 4096], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[k : k + 4096][at]), pa.array(ids[k : k + 4096][at])], names=["anchor", "fp", "id"])
+                at, anchor = anchors(fp[k : k + 4096], threshold, third)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[k : k + 4096][at])], names=["anchor", "fp"])
 
     def compare(batches):
         def edges(parts):
-            a, f, r = (np.concatenate(x) for x in zip(*parts))
-            u, v = _forest(a, f, r, threshold, threshold)
+            a, f = (np.concatenate(x) for x in zip(*parts))
+            u, v = _forest(a, f, threshold, third)
             key = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], names=["u", "v"])
 
@@ -228,7 +237,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = tuple(np.asarray(b.column(k)).astype(np.int64) for k in range(3))
+            cols = tuple(np.asarray(b.column(k)).astype(np.int64) for k in range(2))
             held.append(cols)
             if sum(len(x[0]) for x in held) < 1 << 18 or cols[0][0] == cols[0][-1] and held[0][0][0] == cols[0][0]:
                 continue
@@ -240,19 +249,19 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if held:
             yield edges(held)
 
-    spots = nodes.select("id", "fp").mapInArrow(spread, "anchor int, fp bigint, id bigint")
+    spots = nodes.select("fp").mapInArrow(spread, "anchor bigint, fp bigint")
     dealt = spots.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id in edges (u, v), u > v.
 
     Large-star joins every larger neighbour to the smallest, small-star the smaller
     ones; the rounds needed grow with the logarithm of a component's size. The rows of
     a hub meet its minimum in a sort-merge join, which the engine can split."""
     e = cut(edges)
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = cut(both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -262,35 +271,34 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if e.exceptAll(new).isEmpty() and new.exceptAll(e).isEmpty():
             break
         e = new
-    else:
-        raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def group(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similar: bool = True) -> DataFrame:
-    """doc_id, fp, component_id for every row.
+    """doc_id (what id_col holds, of any type that can be ordered), fp, component_id for every row.
 
     similar: texts also link whose sets of shingles are similar (see `shingles`), however far their fingerprints lie apart."""
     fps = cut(fingerprints(docs, text, id_col, shingle, similar))
-    known = fps.where("doc_id is not null")
-    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
-    edges, keys = links(nodes, threshold), ["fp"]
+    node = "sig" if similar else "fp"
+    same = cut(fps.select("fp").distinct())
+    edges = links(same, threshold)
     if similar:
-        keys = ["fp", "sig"]
-        sets = cut(known.groupBy("sig").agg(F.min("doc_id").cast("long").alias("id"), F.first("n").alias("n"), F.first("n_first").alias("n_first")))
-        found = shingles.links(docs.where(F.col(id_col).isNotNull()).select(F.col(text).cast("string").alias("text")), sets.select("sig", "n", "n_first"))
+        pairs = cut(fps.select("fp", "sig").distinct())
+        first = pairs.groupBy("fp").agg(F.min("sig").alias("first"))  # stands for its fingerprint
         for end in ("u", "v"):
-            found = found.join(sets.select(F.col("sig").alias(end), F.col("id").alias(f"{end}_id")), end)
-        edges = edges.unionByName(found.select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v")))
-        both = cut(known.groupBy("fp", "sig").agg(F.min("doc_id").cast("long").alias("id")))
-        for same, key in ((nodes, "fp"), (sets, "sig")):
-            edges = edges.unionByName(both.join(same.select(key, F.col("id").alias("v")), key).select(F.col("id").alias("u"), "v"))
-        nodes, edges = both, edges.where("u > v").distinct()
+            edges = edges.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_sig")), end)
+        edges = edges.select(F.col("u_sig").alias("u"), F.col("v_sig").alias("v"))
+        edges = edges.unionByName(pairs.join(first, "fp").select(F.col("sig").alias("u"), F.col("first").alias("v")))
+        sets = fps.groupBy("sig").agg(F.first("n").alias("n"), F.first("n_first").alias("n_first"))
+        edges = edges.unionByName(shingles.links(docs.select(F.col(text).cast("string").alias("text")), sets))
+        edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     comps = components(edges)
-    named = cut(nodes.join(comps, "id", "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("root", "id").alias("root")))
-    # A row without id has its fingerprint's component hidden again.
-    out = fps.join(named, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    comps = bounded(cut(comps.unionByName(comps.select(F.col("root").alias("id"), "root").distinct())), CLASSED)
+    # Copies are summed up by node first; only nodes that link with others have more to look up.
+    lows = cut(fps.groupBy(node).agg(F.min("doc_id").alias("low")).join(comps, F.col(node) == F.col("id"), "left").select(node, "low", "root"))
+    of_class = cut(lows.where("root is not null").groupBy("root").agg(F.min("low").alias("least")))
+    named = lows.join(bounded(of_class, CLASSED), "root", "left").select(F.col(node).alias("_node"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return fps.join(named, F.col(node) == F.col("_node")).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -47,21 +47,24 @@ def test_linked_fingerprints_meet_at_a_home(x, flips):
     for f in flips:
         y ^= 1 << f
     both = np.array([x, y], np.uint64).view(np.int64)
-    at, anchor = S.anchors(both)
-    homes = S.home(both)
-    for i in (0, 1):
-        mine = set(anchor[at == i].tolist())
-        assert set(homes.tolist()) <= mine and len(mine) == (at == i).sum()
+    for third in (False, True):
+        at, anchor = S.anchors(both, third=third)
+        homes = S.home(both, third=third)
+        for i in (0, 1):
+            mine = set(anchor[at == i].tolist())
+            assert set(homes.tolist()) <= mine and len(mine) == (at == i).sum()
 
 
 def test_golay_is_perfect():
-    code = S.Golay(2)
+    code = S.Code(*S.GOLAY, 2)
     assert sorted(len(e) for e in code.errors[0]) == [1] * 2048
     assert sum(len(e) for k in range(3) for e in code.errors[k]) == 44552
+    code = S.Code(*S.HAMMING, 2)
+    assert [len(e) for e in code.errors[0]] == [1] * 16 and sum(len(e) for k in range(3) for e in code.errors[k]) == 1 + 15 + 105 + 455
 
 
 def _nodes(spark, fps):
-    return spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps], "id long, fp long").repartition(5)
+    return spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in fps], "fp long").repartition(5)
 
 
 def test_chains_and_dense_groups(spark):
@@ -78,9 +81,10 @@ def test_chains_and_dense_groups(spark):
     for f in list(fps)[-200:]:  # the highest bit, alone and with another
         fps[f ^ 1 << 63] = fps[f ^ 1 << 63 ^ 1 << int(rng.integers(63))] = 1
     fps = [(1000 - i, f) for i, f in enumerate(fps)]
-    want = plain_components(fps)
-    got = {r["id"]: r["root"] for r in S.components(S.links(_nodes(spark, fps))).collect()}
-    assert {i: got.get(i, i) for i in want} == want
+    want, name = plain_components(fps), dict(fps)
+    for third in (False, True):
+        got = {r["id"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in S.components(S.links(_nodes(spark, fps), third=third)).collect()}
+        assert {frozenset(f for g, f in ((got.get(f, f), f) for f in name.values()) if g == h) for h in {got.get(f, f) for f in name.values()}} == {frozenset(name[i] for i in want if want[i] == r) for r in set(want.values())}
 
 
 def test_long_chain(spark):
@@ -94,7 +98,8 @@ def test_edges(spark, edge_docs, no_docs):
     by = {r["doc_id"]: r for r in rows}
     assert by[30]["fp"] == by[31]["fp"] == by[32]["fp"] == 0 and {by[i]["component_id"] for i in (30, 31, 32)} == {30}
     assert by[34]["component_id"] == 3 and sum(r["doc_id"] == 34 for r in rows) == 2
-    assert all(r["component_id"] is None for r in rows if r["doc_id"] is None)
+    assert [r["component_id"] for r in rows if r["doc_id"] is None and r["fp"] == 0] == [30]  # its text is null, like that of 30
+    assert [r["component_id"] for r in rows if r["doc_id"] is None and r["fp"] != 0] == [None]
     assert S.group(no_docs).count() == 0
 
 
