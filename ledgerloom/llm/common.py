@@ -67,6 +67,23 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path that `scratch` gave."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that names each row, whatever it holds, and that column's name: a struct of
+    the hash of its file's path and its number there. What isn't a plain scan of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        path = scratch(docs.sparkSession, "rows")
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    name, meta = free(docs, "_row"), docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("n"))), name
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """df, a written frame of narrow rows, to be broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df

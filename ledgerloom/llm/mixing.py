@@ -19,7 +19,8 @@ in turn; up to the first such slot (`in_target`) the shares hold to less than a
 
 Defined results: null ids and texts are rows like others; equal rows follow one another
 in any order; an empty table gives an empty result; the columns source, text and doc_id
-are read, others pass through `mix`, but for those named like a column that it adds.
+are read, all pass through `mix`, texts of any length too; where the caller has a column named
+like one that it adds, the added one gets a low line behind its name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, read
+from .common import free, literal_rows, read
 
 OTHER = "(other)"
 PERIOD, BLOCK = 10_000, 8
@@ -60,45 +61,47 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK)
 
     Rows of a block stay together: position counts the rows of the blocks in earlier slots."""
     spark = docs.sparkSession
-    docs = docs.drop("mix_class", "block", "slot", "in_target", "position", *[c for c in docs.columns if c.startswith("_mix_")])
+    given, p = docs, "_mix_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
     weights = {OTHER: 1} | weights
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))).cast("binary"))
     cls = F.when(F.col("source").isin(*[x for x in weights if x != OTHER]), F.col("source")).otherwise(OTHER)
     total = {r["s"]: r["n"] for r in docs.groupBy(cls.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each weight
     ranges = max(LEAST_RANGES, sum(total.values()) // RANGE_ROWS)
-    part = F.floor(F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
-    rows = docs.withColumn("_mix_key", key).withColumn("_mix_source", cls).withColumn("_mix_part", part)
+    part = F.floor(F.conv(F.substring(f"{p}key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
+    rows = docs.withColumn(f"{p}key", key).withColumn(f"{p}source", cls).withColumn(f"{p}part", part)
     # Sizes of the ranges: at most (number of weights) x ranges rows, summed before they move.
-    sizes = rows.groupBy("_mix_source", "_mix_part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_mix_source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_mix_source", "_mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_first"))
+    sizes = rows.groupBy(f"{p}source", f"{p}part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(f"{p}source").orderBy(f"{p}part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(f"{p}source", f"{p}part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{p}first"))
     weights = {s: w for s, w in weights.items() if total.get(s)} or weights  # a source without rows has no share
     names, q = sorted(weights), sum(weights.values())
     blocks = [-(-total.get(s, 0) // block) for s in names]
     sched = schedule(weights)
     table = literal_rows(spark, sched, "slot long, source string, k long, before array<long>")
-    table = table.select(F.col("slot").alias("_mix_slot"), F.col("source").alias("_mix_s"), F.col("k").alias("_mix_k"), F.col("before").alias("_mix_before"))
-    inside = Window.partitionBy("_mix_source", "_mix_part").orderBy("_mix_key", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if _hashable(docs, c)]))
+    table = table.select(F.col("slot").alias(f"{p}slot"), F.col("source").alias(f"{p}s"), F.col("k").alias(f"{p}k"), F.col("before").alias(f"{p}before"))
+    inside = Window.partitionBy(f"{p}source", f"{p}part").orderBy(f"{p}key", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if _hashable(docs, c)]))
     # A row for each class and range at most: broadcast up to STARTS of them, else joined by a shuffle.
     starts = F.broadcast(starts) if (len(weights) + 1) * ranges <= STARTS else starts
-    out = rows.withColumn("_mix_n", F.row_number().over(inside)).join(starts, ["_mix_source", "_mix_part"])
-    out = out.withColumn("_mix_n", F.col("_mix_n") - 1 + F.col("_mix_first"))
-    share = F.element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.lit(weights[s]))]), F.col("_mix_source"))
-    out = out.withColumn("_mix_block", F.floor(F.col("_mix_n") / block).cast("long")).withColumn("_mix_w", share.cast("long"))
-    out = out.withColumn("_mix_round", F.floor(F.col("_mix_block") / F.col("_mix_w")).cast("long"))
+    out = rows.withColumn(f"{p}n", F.row_number().over(inside)).join(starts, [f"{p}source", f"{p}part"])
+    out = out.withColumn(f"{p}n", F.col(f"{p}n") - 1 + F.col(f"{p}first"))
+    share = F.element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.lit(weights[s]))]), F.col(f"{p}source"))
+    out = out.withColumn(f"{p}block", F.floor(F.col(f"{p}n") / block).cast("long")).withColumn(f"{p}w", share.cast("long"))
+    out = out.withColumn(f"{p}round", F.floor(F.col(f"{p}block") / F.col(f"{p}w")).cast("long"))
     # The table has q rows, PERIOD at most.
-    out = out.join(F.broadcast(table), (F.col("_mix_source") == F.col("_mix_s")) & (F.col("_mix_block") % F.col("_mix_w") == F.col("_mix_k")))
+    out = out.join(F.broadcast(table), (F.col(f"{p}source") == F.col(f"{p}s")) & (F.col(f"{p}block") % F.col(f"{p}w") == F.col(f"{p}k")))
     # Rows in earlier slots: of each source, its blocks before this slot, the last of which may be short.
-    had = [F.least(F.lit(total.get(s, 0)).cast("long"), F.lit(block) * (F.col("_mix_round") * weights[s] + F.get("_mix_before", F.lit(i)))) for i, s in enumerate(names)]
+    had = [F.least(F.lit(total.get(s, 0)).cast("long"), F.lit(block) * (F.col(f"{p}round") * weights[s] + F.get(f"{p}before", F.lit(i)))) for i, s in enumerate(names)]
     ends = [q * (n // weights[s]) + next(x["slot"] for x in sched if x["source"] == s and x["k"] == n % weights[s]) for s, n in zip(names, blocks)]
-    slot = F.col("_mix_round") * q + F.col("_mix_slot")
+    slot = F.col(f"{p}round") * q + F.col(f"{p}slot")
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("_mix_source").alias("mix_class"),
-        F.col("_mix_block").alias("block"),
-        slot.alias("slot"),
-        (slot < F.lit(min(ends))).alias("in_target"),
-        (sum(had[1:], had[0]) + F.col("_mix_n") % block).cast("long").alias("position"),
+        F.col(f"{p}source").alias(free(given, "mix_class")),
+        F.col(f"{p}block").alias(free(given, "block")),
+        slot.alias(free(given, "slot")),
+        (slot < F.lit(min(ends))).alias(free(given, "in_target")),
+        (sum(had[1:], had[0]) + F.col(f"{p}n") % block).cast("long").alias(free(given, "position")),
     )
 
 

@@ -49,8 +49,15 @@ def test_no_python_in_the_plan(spark):
 
 def test_edges(spark, edge_docs, no_docs):
     out = M.mix(edge_docs, {"src0": 2, "src1": 1, M.OTHER: 1}, block=3)
-    rows = out.collect()
-    assert sorted(r["position"] for r in rows) == list(range(edge_docs.count()))
+    rows = out.collect()  # the table's own columns block and position stay as they are
+    assert out.columns == [*edge_docs.columns, "mix_class", "block_", "slot", "in_target", "position_"] and {r["block"] for r in rows} == {"clash"}
+    assert sorted(r["position_"] for r in rows) == list(range(edge_docs.count()))
     assert {r["mix_class"] for r in rows if r["source"] is None or r["source"] in ("src2", "src9")} == {M.OTHER}
     assert M.mix(no_docs).count() == 0
-    assert sorted(r["position"] for r in M.mix(edge_docs, {"gone": 5}).collect()) == list(range(edge_docs.count()))
+    assert sorted(r["position_"] for r in M.mix(edge_docs, {"gone": 5}).collect()) == list(range(edge_docs.count()))
+
+
+def test_clashing_names_of_helpers(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "src0", "kept", "kept") for i in range(20)], "doc_id long, text string, source string, _mix_key string, slot string")
+    rows = M.mix(df).collect()
+    assert {(r["_mix_key"], r["slot"]) for r in rows} == {("kept", "kept")} and sorted(r["position"] for r in rows) == list(range(20)) and all(isinstance(r["slot_"], int) for r in rows)
