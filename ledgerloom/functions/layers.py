@@ -41,13 +41,13 @@ def bucket(x: Column, ranges: list[tuple[float, float, int]]) -> Column:
     return out
 
 
-def parse_ranges(table: dict[str, float]) -> list[tuple[float, float, int]]:
-    """{'6.5-7': 7} to sorted ranges; malformed entries are skipped."""
+def parse_ranges(table: dict[str, float | str]) -> list[tuple[float, float, int]]:
+    """{'6.5-7': 7} to sorted ranges, scores as numbers or texts; malformed entries are skipped."""
     out = []
     for key, score in table.items():
         lo, sep, hi = key.partition("-")
         try:
-            out.append((float(lo), float(hi), round(score)))
+            out.append((float(lo), float(hi), round(float(score))))
         except (TypeError, ValueError):
             continue
     return sorted(out)

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks, and the letters that they fold to.
-MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def _folds() -> tuple[str, str]:
+    """Characters and what they fold to, by the rule of Unicode: compatibility decomposition without its marks, where
+    that leaves one ASCII letter or digit. The marks themselves stand last, without a counterpart: they are deleted."""
+    marked, plain = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(base) == 1 and base.isascii() and base.isalnum():
+            marked.append(c)
+            plain.append(base)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+MARKED, PLAIN = _folds()
+# Ligatures, and their letters.
+LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ĳ", "ij"))
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def fold(x: Column) -> Column:
-    """Lower case without marks. One translation in generated code; letters outside the table stay."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    """Lower case without marks. One translation in generated code; letters that don't decompose stay."""
+    low = F.lower(x)
+    apart = low
+    for a, b in LIGATURES:
+        apart = F.replace(apart, F.lit(a), F.lit(b))
+    return F.translate(F.when(low.rlike("[ﬀ-ﬄĳ]"), apart).otherwise(low), MARKED, PLAIN)
 
 
 def norm_key(x: Column) -> Column:

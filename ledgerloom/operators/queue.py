@@ -9,6 +9,8 @@ from ..functions.text import backoff
 
 # Priorities of job kinds, attempts before a delivery is given up.
 PRIORITY = {"watch": 10, "match": 50, "round": 50, "dates": 55, "ratings": 60, "squads": 70, "official": 80, "backfill": 90}
+#: Subscribers to everything that may be broadcast.
+WILD = 10_000
 MAX_ATTEMPTS = 8
 
 
@@ -36,11 +38,12 @@ def delivered(df: DataFrame, has_payload: Column, listeners: Column, failures: C
 
 
 def route(rows: DataFrame, subscribers: DataFrame, row_key: str, sub_key: str) -> DataFrame:
-    """Active subscribers whose key is the row's, or null (all rows). Two equality-free parts: an
-    equality join, and the wildcards, which are few and broadcast."""
+    """Active subscribers whose key is the row's, or null (all rows): an equality join, and the wildcards, each of
+    which takes every row. Up to WILD of them (counted) are broadcast."""
     s = subscribers.where("active")
     exact = rows.join(s.where(F.col(sub_key).isNotNull()), F.col(row_key) == F.col(sub_key))
-    wild = rows.crossJoin(F.broadcast(s.where(F.col(sub_key).isNull())))
+    every = s.where(F.col(sub_key).isNull())
+    wild = rows.crossJoin(F.broadcast(every) if every.limit(WILD + 1).count() <= WILD else every)
     return exact.unionByName(wild)
 
 

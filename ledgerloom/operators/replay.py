@@ -11,6 +11,11 @@ def progress(target: Column, fraction: Column) -> Column:
     return F.least(target, F.floor(fraction * (target + 1)).cast("int"))
 
 
+def revealed(clock: Column, minute: Column, value: Column) -> Column:
+    """A value that shows from its minute on; one without a minute never does."""
+    return F.when(clock >= minute, value)
+
+
 def replay(targets: DataFrame, day: Column, target: Column, elapsed: list[int], window: int) -> DataFrame:
     """targets at each elapsed second: fraction, state, shown value, clock minute."""
     ticks = F.explode(F.array(*[F.lit(x) for x in elapsed])).alias("elapsed")

@@ -288,6 +288,15 @@ def replay_scoreline(t: Tables):
     return _replay(t).groupBy("user_id", "elapsed").agg(F.sum(F.when(side == 0, F.col("shown")).otherwise(0)).alias("home"), F.sum(F.when(side == 1, F.col("shown")).otherwise(0)).alias("away"))
 
 
+@query(f"WITH {REPLAY_SQL}, m AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN (event_id * 13 % 95)::INT END AS minute FROM s) SELECT event_id, elapsed, clock, CASE WHEN clock >= minute THEN minute END AS sub_minute, state = 'live' AND coalesce(clock >= minute, false) AS on_field FROM m")
+def replay_reveal(t: Tables):
+    """Substitutions show once the clock has reached their minute."""
+    minute = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") * 13 % 95).cast("int"))
+    x = _replay(t).select("event_id", "elapsed", "clock", "state", minute.alias("minute"))
+    shown = replay.revealed(F.col("clock"), F.col("minute"), F.col("minute"))
+    return x.select("event_id", "elapsed", "clock", shown.alias("sub_minute"), ((F.col("state") == "live") & shown.isNotNull()).alias("on_field"))
+
+
 @query(f"""WITH {REPLAY_SQL}, p AS (SELECT *, lag(state) OVER w AS ps, lag(shown) OVER w AS pn FROM s WINDOW w AS (PARTITION BY event_id ORDER BY elapsed))
 SELECT event_id, elapsed, state, shown FROM p WHERE state IS DISTINCT FROM ps OR shown IS DISTINCT FROM pn""")
 def replay_transitions(t: Tables):

@@ -73,12 +73,60 @@ def labelled_values(t: Tables):
     return t.part.select("p_partkey", R.labelled(s, "Brand").alias("brand"), R.labelled(s, "Age").try_cast("int").alias("age"))
 
 
-@query("""SELECT l_orderkey, l_suppkey, bool_or(l_linenumber = 2) AS label, max(l_quantity) FILTER (l_linenumber <= 2) AS best FROM lineitem GROUP BY 1, 2 HAVING bool_or(l_linenumber <= 2)""")
+def _page(df, key, order: str, piece):
+    """One text for each key: the pieces of its rows in order. Keys hold 20 rows at most."""
+    return df.groupBy(key.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece.alias("x")))), lambda r: r["x"]), "").alias("html"))
+
+
+@query("""WITH b AS (SELECT p_partkey // 10 AS page, p_partkey AS k, p_name AS name, lower(replace(p_name, ' ', '')) AS key, CASE WHEN p_partkey % 4 < 3 THEN p_size % 11 END AS score FROM part WHERE p_partkey % 6 <> 0)
+SELECT page, min_by(name, k) AS name, coalesce(min_by(score, k) FILTER (score IS NOT NULL AND k = f), min_by(score, k) FILTER (score IS NOT NULL))::INT AS score
+FROM (SELECT *, min(k) OVER (PARTITION BY page, key) AS f FROM b) GROUP BY page, key""")
 def standout_boxes(t: Tables):
-    """Standout boxes: any layout makes a candidate; equal names fold into one."""
-    low = F.col("l_linenumber") <= 2
-    g = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(F.col("l_linenumber") == 2).alias("label"), F.max(F.when(low, F.col("l_quantity"))).alias("best"), F.bool_or(low).alias("any"))
-    return g.where("any").drop("any")
+    """Standout boxes in four layouts, among lines that are none; equal names fold into one."""
+    k, n, name = F.col("p_partkey") % 4, (F.col("p_size") % 11).cast("string"), F.col("p_name")
+    box = F.when(k == 0, F.concat(n, F.lit(" | MVP: "), name)).when(k == 1, F.concat(F.lit("MVP: "), name, F.lit(" ("), n, F.lit(")"))).when(k == 2, F.concat(name, F.lit(" - MVP: "), n)).otherwise(F.concat(F.lit("MVP - "), name))
+    line = F.concat(F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("What "), name, F.lit(" did"))).otherwise(box), F.lit("\n"))
+    x = _page(t.part, F.floor(F.col("p_partkey") / 10), "p_partkey", line)
+    return x.select("page", F.inline(R.standouts(F.col("html"))))
+
+
+@query("""SELECT s_suppkey // 20 AS page, s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey::VARCHAR || ' M' ELSE '' END AS value FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""")
+def league_teams(t: Tables):
+    """Teams from the rows of a table; youth and reserve sides are left out, rows without a link too."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 0, F.concat("s_name", F.lit(" U19"))).when(k % 7 == 0, F.concat("s_name", F.lit(" B"))).otherwise(F.col("s_name"))
+    value = F.when(k % 4 != 0, F.concat(F.col("s_nationkey").cast("string"), F.lit(" M"))).otherwise("")
+    row = F.concat(F.lit('<tr class="odd"><td><a href="/team/'), k.cast("string"), F.lit('" title="x">'), name, F.lit("</a></td><td> <b>"), value, F.lit("</b> </td></tr><tr><td>no link</td></tr>"))
+    x = _page(t.supplier, F.floor(k / 20), "s_suppkey", row)
+    x = x.select("page", F.inline(R.senior(R.table_rows(F.col("html")))))
+    return x.select("page", "id", "name", F.get("cells", 1).alias("value"))
+
+
+@query("""SELECT c_custkey // 20 AS page, c_custkey::VARCHAR AS id, c_name AS name FROM customer WHERE c_acctbal < 0""")
+def departures(t: Tables):
+    """The rows of one section of a page."""
+    k = F.col("c_custkey")
+    row = F.concat(F.lit('<tr><td><a href="/player/'), k.cast("string"), F.lit('">'), "c_name", F.lit("</a></td></tr>"))
+    c = t.customer.withColumn("gone", (F.col("c_acctbal") < 0).cast("int"))
+    x = c.groupBy(F.floor(k / 20).alias("page")).agg(F.array_sort(F.collect_list(F.struct("gone", "c_custkey", row.alias("x")))).alias("r"))
+    part = lambda g: F.array_join(F.transform(F.filter("r", lambda r: r["gone"] == g), lambda r: r["x"]), "")
+    html = F.concat(F.lit("<h2>Squad</h2><table>"), part(0), F.lit("</table><h2>Departures</h2><table>"), part(1), F.lit("</table><h2>Staff</h2>"))
+    return x.select("page", F.inline(R.table_rows(R.section_of(html, "Departures")))).select("page", "id", "name")
+
+
+@query("""SELECT o_orderkey // 20 AS page, o_orderkey::VARCHAR AS id, 'a-b-' || o_orderkey AS slug, o_orderdate::DATE::VARCHAR AS date, 'T' || o_custkey AS home, o_custkey AS home_id, 'T' || (o_custkey + 1) AS away, o_custkey + 1 AS away_id,
+CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 END::INT AS home_score, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 4 END::INT AS away_score, CASE WHEN o_orderkey % 3 = 0 THEN '20:30' END AS kickoff, CASE WHEN o_orderkey % 3 <> 0 THEN 'final' ELSE 'scheduled' END AS status FROM orders WHERE o_orderkey % 11 <> 0""")
+def round_fixtures(t: Tables):
+    """A round's table to fixtures: result or kick-off time, the id from the row or its link, the first row of an id, rows of two teams."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    team = lambda x: F.concat(F.lit('<td><a href="/team/'), s(x), F.lit('">T'), s(x), F.lit("</a></td>"))
+    said = F.when(k % 3 != 0, F.concat(F.lit('<td class="result">'), s(k % 5), F.lit(" - "), s(k % 4), F.lit("</td>"))).otherwise('<td class="vs">20:30</td>')
+    link = F.concat(F.lit('<a href="/game/a-b-'), s(k), F.lit('">x</a>'))
+    row = F.concat(F.when(k % 7 == 0, F.lit("<tr>")).otherwise(F.concat(F.lit('<tr id="game-'), s(k), F.lit('">'))), F.lit("<td>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</td>"), team(c), said, F.when(k % 11 != 0, team(c + 1)).otherwise(""), link, F.lit("</tr>"))
+    again = F.when(k % 4 == 0, F.concat(F.lit('<tr id="game-'), s(k), F.lit('">'), team(c), F.lit('<td class="result">9 - 9</td>'), team(c), F.lit("</tr>"))).otherwise("")
+    x = _page(t.orders, F.floor(k / 20), "o_orderkey", F.concat(row, F.when(k % 11 != 0, again).otherwise("")))
+    return x.select("page", F.inline(R.fixtures(F.col("html")))).withColumn("date", F.col("date").cast("string"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS ext FROM customer), n AS (SELECT c_custkey, c_nationkey, (c_custkey * 7) % 500 AS new FROM customer WHERE c_acctbal > 0),
@@ -211,12 +259,17 @@ def lineup_sections(t: Tables):
     return x.select("page_id", "section", "r.side", "r.starter", F.length("body").alias("chars"))
 
 
-@query("""SELECT l_suppkey, l_partkey AS id, min_by(l_orderkey, (l_linenumber, l_orderkey, l_quantity)) AS first_seen, min_by(l_returnflag = 'R', (l_linenumber, l_orderkey, l_quantity)) AS departed FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT p_partkey // 20 AS page, p_partkey::VARCHAR AS id, p_name AS name, (['Goalkeepers', 'Defenders', 'Midfielders', 'Forwards'])[p_size % 5 + 1] AS section, CASE WHEN p_size < 40 THEN p_size END::INT AS shirt, p_partkey % 9 = 0 AS departed FROM part WHERE p_size % 5 < 4""")
 def squad_page(t: Tables):
-    """Players of a squad in page order: the first card of an id wins, with its departed flag."""
-    order = F.struct("l_linenumber", "l_orderkey", "l_quantity")
-    first = F.min_by(F.struct(F.col("l_orderkey").alias("first_seen"), (F.col("l_returnflag") == "R").alias("departed")), order)
-    return t.lineitem.groupBy("l_suppkey", F.col("l_partkey").alias("id")).agg(first.alias("m")).select("l_suppkey", "id", "m.*")
+    """Players of a squad page: four sections count, the id comes from the link or the photo, the first card of an id wins, some have left."""
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size")
+    ident = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<img src="/photos/x/'), k, F.lit('.png">'))).otherwise(F.concat(F.lit('<a href="/player/'), k, F.lit('">')))
+    card = F.concat(F.lit('<div class="card player'), F.when(F.col("p_partkey") % 9 == 0, " departed").otherwise(""), F.lit(' x">'), ident, F.lit("<b>"), "p_name", F.lit("</b><i>"), F.when(z < 40, z.cast("string")).otherwise("-"), F.lit("</i></div>"))
+    again = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit('<div class="player"><a href="/player/'), k, F.lit('"><b>again</b></div>'))).otherwise("")
+    x = t.part.groupBy(F.floor(F.col("p_partkey") / 20).alias("page")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", (z % 5).alias("s"), card.alias("x"), again.alias("y")))).alias("r"))
+    part = lambda i, title, y: F.concat(F.lit(f"<h2>{title}</h2>"), F.array_join(F.transform(F.filter("r", lambda r: r["s"] == i), lambda r: r[y]), ""))
+    html = F.concat(*[part(i, title, "x") for i, title in enumerate((*R.SQUAD, "Staff"))], F.lit("<h2>Forwards</h2>"), *[F.array_join(F.transform(F.filter("r", lambda r: r["s"] == i), lambda r: r["y"]), "") for i in range(4)])
+    return x.select("page", F.inline(R.squad(html)))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, w || CASE WHEN list_has_any(w, ['red', 'rouge']) THEN ['red', 'rouge'] ELSE [] END || CASE WHEN list_has_any(w, ['bolt', 'screw']) THEN ['bolt', 'screw'] ELSE [] END AS w FROM w)

@@ -227,12 +227,12 @@ def single_owner(t: Tables):
     return match.single_owner(t.lineitem.where("l_quantity > 45"), "l_partkey", "l_suppkey")
 
 
-@query("""SELECT c_custkey, rank, row_number() OVER (ORDER BY rank, c_name, c_custkey) AS place FROM (SELECT *, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 9 END AS rank
-FROM customer WHERE c_nationkey = 3)""")
+@query("""SELECT c_nationkey, c_custkey, rank, row_number() OVER (PARTITION BY c_nationkey ORDER BY rank, c_name, c_custkey) AS place FROM (SELECT *, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 9 END AS rank
+FROM customer)""")
 def group_order(t: Tables):
     rank = F.coalesce(F.try_element_at(F.create_map(F.lit("MACHINERY"), F.lit(0), F.lit("BUILDING"), F.lit(1), F.lit("AUTOMOBILE"), F.lit(2)), F.col("c_mktsegment")), F.lit(9))
-    c = t.customer.where("c_nationkey = 3").withColumn("rank", rank)  # one team's players
-    return c.select("c_custkey", "rank", F.row_number().over(Window.orderBy("rank", "c_name", "c_custkey")).cast("long").alias("place"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("rank", "c_name", "c_custkey"))
+    return t.customer.withColumn("rank", rank).select("c_nationkey", "c_custkey", "rank", place.cast("long").alias("place"))
 
 
 @query("SELECT event_id, dense_rank() OVER (ORDER BY ts::DATE) - 1 AS day_index FROM events")

@@ -91,3 +91,18 @@ def test_map_layers(spark):
     row = m.select(L.overlaid(c, "a", F.lit(9)), L.overlaid(c, "b", F.lit(9)), L.overlaid(c, "c", F.lit(9)), L.put(c, F.lit("a"), F.lit(5)), L.without(c, F.lit("a")), L.present(c)).first()
     assert tuple(row) == (1, None, 9, {"b": None, "a": 5}, {"b": None}, {"a": 1})
     assert tuple(spark.range(1).select(*L.split_goals(F.lit(2), F.lit(1)), *L.split_goals(F.lit(0), F.lit(1))).first()) == (1, 1, 0, 0)
+
+
+def test_folding_follows_unicode(spark):
+    from ledgerloom.functions import text
+
+    rows = [("Șțefan Ǎơư ȩ", "stefanaoue"), ("ﬁnal ﬃ Ｆull", "finalffifull"), ("e\u0301te\u0301", "ete"), ("Ỗ İ", "oi"), ("straße", "strae")]
+    df = spark.createDataFrame(rows, "x string, want string")
+    assert df.where(text.norm_key(df["x"]) != df["want"]).count() == 0
+    assert df.where("want = 'ete'").select(text.slug(df["x"])).first()[0] == "ete"
+
+
+def test_range_scores_as_texts():
+    from ledgerloom.functions.layers import parse_ranges
+
+    assert parse_ranges({"0-5": "4", "5-6": 5, "x-y": 1, "7-8": "no"}) == [(0.0, 5.0, 4), (5.0, 6.0, 5)]
