@@ -39,6 +39,8 @@ THRESHOLD, SHINGLE, SEED = 2, 3, 42
 _CHUNK = 1 << 14
 #: Distinct fingerprints from which a third block is covered; class members (16 bytes each and an entry in a hash table) that may be broadcast.
 THIRD, CLASSED = 1 << 24, 500_000
+#: Fingerprints that a task replicates, about.
+SPREAD = 10_000
 #: Runs of an anchor beyond this are searched outward from their members instead of pair by pair.
 _RUN = 256
 
@@ -217,7 +219,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, third: bool | None = Non
     """(u, v), u > v: fingerprints that link, enough of them to connect all that do.
 
     nodes: fp (distinct). third: whether a third block is covered (None: by their number)."""
-    third = nodes.count() > THIRD if third is None else third
+    total = nodes.count()
+    third = total > THIRD if third is None else third
 
     def spread(batches):
         for b in batches:
@@ -249,7 +252,9 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, third: bool | None = Non
         if held:
             yield edges(held)
 
-    spots = nodes.select("fp").mapInArrow(spread, "anchor bigint, fp bigint")
+    # Fingerprints are small and each becomes many replicas: they are dealt by their number, not by their bytes.
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total // SPREAD))
+    spots = nodes.select("fp").repartition(parts, "fp").mapInArrow(spread, "anchor bigint, fp bigint")
     dealt = spots.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
 
