@@ -69,6 +69,12 @@ def token_overlap(a: Column, b: Column, prefix: int = 3) -> Column:
     return F.coalesce(hits / F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
 
 
+def shares_word(a: Column, b: Column) -> Column:
+    """Whether a word of `a`, of 3 letters or more, equals a word of `b` or is a prefix of it or the reverse, again from 3 letters on."""
+    same = lambda x, y: (x == y) | ((F.length(y) >= 3) & (x.startswith(y) | y.startswith(x)))
+    return F.exists(a, lambda x: (F.length(x) >= 3) & F.exists(b, lambda y: same(x, y)))
+
+
 def last_word(x: Column) -> Column:
     return F.element_at(F.split(fold(x), "[^a-z0-9]+"), -1)
 

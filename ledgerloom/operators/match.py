@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import shares_word
+from ..streaming.run import shared
+
 
 def tiered(left: DataFrame, right: DataFrame, block: list[str], tiers: list[Column], left_id: str, right_id: str) -> DataFrame:
     """The first tier with candidates decides; several candidates in it leave a gap."""
@@ -34,26 +37,116 @@ def single_owner(df: DataFrame, key: str, owner: str) -> DataFrame:
     return g.where("_n = 1").drop("_n")
 
 
-def unique_subset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str) -> DataFrame:
-    """Pairs whose token sets contain one another, where the left row has one partner only.
+def containing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, block: tuple[str, ...] = ()) -> DataFrame:
+    """left_id, right_id: pairs whose token sets contain one another, each once; empty sets have none.
+
+    The inner set meets the outer one at its rarest token, so frequent tokens make no candidates but
+    for sets that hold nothing else."""
+    keys = [*block, "_t"]
+    l, r = left.select(*block, left_id, F.col(tokens).alias("_l")), right.select(*block, right_id, F.col(tokens).alias("_r"))
+    every_l, every_r = l.withColumn("_t", F.explode("_l")), r.withColumn("_t", F.explode("_r"))
+    seen = every_l.select(*keys).unionByName(every_r.select(*keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+
+    def rarest(every: DataFrame, name: str, words: str) -> DataFrame:
+        g = every.join(seen, keys).groupBy(*block, name, words).agg(F.min(F.struct("_n", "_t")).alias("_m"))
+        return g.select(*block, name, words, F.col("_m._t").alias("_t"))
+
+    inside = lambda a, b: F.size(F.array_except(a, b)) == 0
+    up = rarest(every_l, left_id, "_l").join(every_r, keys).where(inside("_l", "_r"))
+    down = every_l.join(rarest(every_r, right_id, "_r"), keys).where(inside("_r", "_l"))
+    return up.select(left_id, right_id).union(down.select(left_id, right_id)).distinct()
 
-    Blocked by token: pairs share at least one, and are counted per shared token."""
-    l = left.select(left_id, F.size(tokens).alias("_nl"), F.explode(tokens).alias("_t"))
-    r = right.select(right_id, F.size(tokens).alias("_nr"), F.explode(tokens).alias("_t"))
-    pairs = l.join(r, "_t").groupBy(left_id, right_id, "_nl", "_nr").agg(F.count("*").alias("_k")).where("_k = least(_nl, _nr)")
-    g = pairs.groupBy(left_id).agg(F.count("*").cast("int").alias("n_candidates"), F.min(right_id).alias("_r"))
+
+def unique_subset(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str) -> DataFrame:
+    """Left rows with partners by containment; the partner where it is the only one."""
+    g = containing(left, right, left_id, right_id, tokens).groupBy(left_id).agg(F.count("*").cast("int").alias("n_candidates"), F.min(right_id).alias("_r"))
     return g.select(left_id, F.when(F.col("n_candidates") == 1, F.col("_r")).alias(right_id), "n_candidates")
 
 
+def token_link(names: DataFrame, teams: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """left_id, right_id, how: an equal token set (the first name, then the smallest id), else the only
+    partner by containment over all names. names: left_id, pos, words; teams: right_id, words; words sorted."""
+    exact = names.where(F.size("words") > 0).join(teams, "words").groupBy(left_id).agg(F.min(F.struct("pos", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias("_e"))
+    near = containing(names, teams, left_id, right_id, "words").groupBy(left_id).agg(F.count("*").alias("_n"), F.min(right_id).alias("_s"))
+    j = near.where("_n = 1").join(exact, left_id, "full")
+    return j.select(left_id, F.coalesce("_e", "_s").alias(right_id), F.when(F.col("_e").isNotNull(), "exact").otherwise("subset").alias("how"))
+
+
+def squad_link(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str) -> DataFrame:
+    """left_id, right_id or null, how: the only partner by containment of words; of several the only one
+    of the same age; else the last row with the shirt, unless the ages are known and over a year apart.
+    Both sides: block, id, words, age, shirt; an age of 0 breaks no tie."""
+    ages = left.select(left_id, F.nullif("age", F.lit(0)).alias("_a"))
+    hits = containing(left, right, left_id, right_id, "words", (block,)).join(ages, left_id).join(right.select(right_id, F.col("age").alias("_b")), right_id)
+    same = F.when(F.col("_a") == F.col("_b"), F.col(right_id))
+    g = hits.groupBy(left_id).agg(F.count("*").alias("_n"), F.min(right_id).alias("_r"), F.count(same).alias("_m"), F.min(same).alias("_s"))
+    last = right.where("shirt is not null").groupBy(block, "shirt").agg(F.max(F.struct(right_id, "age")).alias("_w"))
+    j = left.join(g, left_id, "left").join(last, [block, "shirt"], "left")
+    near = F.col("_w").isNotNull() & F.coalesce(F.abs(F.col("age") - F.col("_w.age")) <= 1, F.lit(True))
+    how = F.when(F.col("_n") == 1, "name").when((F.col("_n") > 1) & (F.col("_m") == 1), "age").when(near, "shirt")
+    return j.select(left_id, F.when(how == "name", F.col("_r")).when(how == "age", F.col("_s")).when(how == "shirt", F.col(f"_w.{right_id}")).alias(right_id), how.alias("how"))
+
+
+def official_link(people: DataFrame, rows: DataFrame, known: DataFrame, block: list[str]) -> DataFrame:
+    """block, ext, id or null, how, learned: by shirt, refused where the name points at another row of the
+    block only; else by the known id; else the only row that shares a word of the name.
+    people: block, ext, shirt, words; rows: block, shirt, id, words; known: ext, id. A block is one team in one match."""
+    r = rows.select(*block, F.col("shirt").alias("_s"), F.col("id").alias("_i"), F.col("words").alias("_w"))
+    j = people.join(r, block, "left").withColumn("_o", F.coalesce(shares_word(F.col("words"), F.col("_w")), F.lit(False)))
+    like = F.when(F.col("_o"), F.col("_i"))
+    g = j.groupBy(*block, "ext").agg(F.max(F.when(F.col("shirt") == F.col("_s"), F.struct("_i", "_o"))).alias("h"), F.count(like).alias("n"), F.min(like).alias("one"))
+    x = g.join(known.select("ext", F.col("id").alias("_k")), "ext", "left")
+    how = F.when(F.col("h").isNotNull() & (F.col("h._o") | (F.col("n") == 0)), "shirt").when(F.col("_k").isNotNull(), "known").when(F.col("n") == 1, "name")
+    hit = F.when(how == "shirt", F.col("h._i")).when(how == "known", F.col("_k")).when(how == "name", F.col("one"))
+    return x.select(*block, "ext", hit.alias("id"), how.alias("how"), F.coalesce(how.isin("shirt", "name"), F.lit(False)).alias("learned"))
+
+
+def discover(ours: DataFrame, listed: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
+    """left_id, right_id, score of the best listed match under equal keys (days exploded by the caller): each side 2 for
+    equal words, 1 for a shared one; an orientation counts as its weaker side; from 1 on; ties: the smallest id.
+    ours: words `home`, `away`; listed: words `a`, `b`."""
+    side = lambda x, y: F.when(F.col(x) == F.col(y), 2).when(F.arrays_overlap(x, y), 1).otherwise(0)
+    score = F.greatest(F.least(side("a", "home"), side("b", "away")), F.least(side("a", "away"), side("b", "home")))
+    j = ours.join(listed, keys).select(left_id, right_id, score.alias("score")).where("score >= 1")
+    return j.groupBy(left_id).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(right_id))).alias("m")).select(left_id, F.col(f"m.{right_id}").alias(right_id), (-F.col("m.s")).alias("score"))
+
+
 def _by_block(df: DataFrame, block: str, name: str) -> DataFrame:
     """One row for each block: its rows as an array. Blocks are small by nature (the fixtures of a
     round, the players of a team), and a plain loop over an array costs far less than a frame for each."""
     return df.groupBy(block).agg(F.collect_list(F.struct(*[c for c in df.columns if c != block])).alias(name))
 
 
-def greedy_pairs(scored: DataFrame, block: str, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one within each block, by descending score (ties: left, then right)."""
-    s = scored.select(block, left, right, score)
+def _mutual_rounds(s: DataFrame, block: str, left: str, right: str, score: str) -> DataFrame:
+    """The same pairs without a task that holds a block: a pair that is the best of both its sides is
+    taken, then what is left of the rest goes into the next round, by a written table."""
+    spark, out, n = s.sparkSession, shared(s.sparkSession, "greedy"), 0
+    best = lambda df, mine, other: df.groupBy(block, mine).agg(F.min(F.struct((-F.col(score)).alias("k"), F.col(other))).alias("m"))
+    while True:
+        s.write.parquet(f"{out}/left/{n}")
+        s = spark.read.parquet(f"{out}/left/{n}")
+        if s.isEmpty():
+            return spark.read.schema(s.schema).parquet(*[f"{out}/taken/{i}" for i in range(n)]) if n else s
+        a = best(s, left, right).select(block, left, F.col(f"m.{right}").alias(right), (-F.col("m.k")).alias(score))
+        b = best(s, right, left).select(block, F.col(f"m.{left}").alias(left), right)
+        a.join(b, [block, left, right]).select(block, left, right, score).write.parquet(f"{out}/taken/{n}")
+        taken = spark.read.parquet(f"{out}/taken/{n}")
+        s, n = s.join(taken.select(block, left), [block, left], "left_anti").join(taken.select(block, right), [block, right], "left_anti"), n + 1
+
+
+def greedy_pairs(scored: DataFrame, block: str, left: str, right: str, score: str, small: int = 20_000) -> DataFrame:
+    """One-to-one within each block, by descending score (ties: left, then right); pairs without a score don't count.
+
+    Blocks of up to `small` candidates (counted) are a row each; larger ones take rounds of mutual best pairs."""
+    s = scored.select(block, left, right, score).where(F.col(block).isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(score).isNotNull())
+    large = s.groupBy(block).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(block)
+    if not large.isEmpty():
+        few = _in_arrays(s.join(large, block, "left_anti"), block, left, right, score)
+        return few.unionByName(_mutual_rounds(s.join(large, block, "left_semi"), block, left, right, score))
+    return _in_arrays(s, block, left, right, score)
+
+
+def _in_arrays(s: DataFrame, block: str, left: str, right: str, score: str) -> DataFrame:
 
     def work(batches):
         for b in batches:

@@ -14,66 +14,6 @@ from .registry import query
 
 
 # Linking
-@query("""WITH c AS (SELECT c_custkey, c_nationkey AS n, c_mktsegment AS seg, (c_acctbal / 1000)::INT AS age FROM customer), s AS (SELECT s_suppkey, s_nationkey AS n, (s_acctbal / 1000)::INT AS age FROM supplier),
-x AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey = s_suppkey THEN 1 WHEN c.age = s.age THEN 2 WHEN abs(c.age - s.age) <= 1 THEN 3 END AS tier FROM c JOIN s USING (n)),
-g AS (SELECT c_custkey, tier, count(DISTINCT s_suppkey) AS k, min(s_suppkey) AS r FROM x WHERE tier IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY tier) AS rn FROM g) WHERE rn = 1)
-SELECT c.c_custkey, CASE WHEN k = 1 THEN r END AS s_suppkey, tier, coalesce(k, 0) AS n_candidates FROM c LEFT JOIN b USING (c_custkey)""")
-def squad_link(t: Tables):
-    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("n"), F.round(F.col("c_acctbal") / 1000).cast("int").alias("age"))
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n"), F.round(F.col("s_acctbal") / 1000).cast("int").alias("age2"))
-    tiers = [F.col("c_custkey") == F.col("s_suppkey"), F.col("age") == F.col("age2"), F.abs(F.col("age") - F.col("age2")) <= 1]
-    return match.tiered(c, s, ["n"], tiers, "c_custkey", "s_suppkey")
-
-
-@query()
-def tiered_link(t: Tables):
-    """Ratings (part names within an order) to roster rows of the same order, each used once."""
-    lines, again = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")) for _ in range(2))
-    roster = again.groupBy("l_orderkey", F.col("l_partkey").alias("id")).agg(F.min("p_name").alias("words"), F.min("l_suppkey").alias("ext_id"))
-    roster = roster.select("l_orderkey", "id", F.regexp_replace("words", " ", "").alias("name"), "words", "ext_id")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    words = F.when(F.col("l_linenumber") % 3 == 0, F.split("p_name", " ")[1]).otherwise(F.col("p_name"))
-    ratings = lines.select("l_orderkey", pos.cast("int").alias("pos"), words.alias("words"), F.when(F.col("l_linenumber") == 1, F.col("l_suppkey")).alias("ext_id"), F.when(F.col("l_linenumber") == 2, F.col("l_partkey")).alias("alias_id"))
-    return match.link_in_order(ratings.withColumn("name", F.regexp_replace("words", " ", "")), roster, "l_orderkey")
-
-
-@query("""WITH b AS (SELECT DISTINCT p_brand, lower(p_brand) AS k FROM part), a AS (SELECT p_partkey, lower(CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN left(p_brand, 7) ELSE p_type END) AS k FROM part),
-x AS (SELECT p_partkey, p_brand, CASE WHEN a.k = b.k THEN 1 WHEN starts_with(b.k, a.k) OR starts_with(a.k, b.k) THEN 2 END AS tier FROM a JOIN b ON left(a.k, 5) = left(b.k, 5)),
-g AS (SELECT p_partkey, tier, count(DISTINCT p_brand) AS n, min(p_brand) AS r FROM x WHERE tier IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier) AS rn FROM g)
-SELECT a.p_partkey, CASE WHEN n = 1 THEN r END AS p_brand, tier, coalesce(n, 0) AS n_candidates FROM a LEFT JOIN (SELECT * FROM m WHERE rn = 1) y USING (p_partkey)""")
-def team_link(t: Tables):
-    b = t.part.select("p_brand").distinct().select("p_brand", F.lower("p_brand").alias("bk"), F.left(F.lower("p_brand"), F.lit(5)).alias("block"))
-    said = F.when(F.col("p_size") % 4 == 0, F.col("p_brand")).when(F.col("p_size") % 4 == 1, F.upper("p_brand")).when(F.col("p_size") % 4 == 2, F.left("p_brand", F.lit(7))).otherwise(F.col("p_type"))
-    a = t.part.select("p_partkey", F.lower(said).alias("ak")).withColumn("block", F.left("ak", F.lit(5)))
-    return match.tiered(a, b, ["block"], [F.col("ak") == F.col("bk"), F.startswith("bk", F.col("ak")) | F.startswith("ak", F.col("bk"))], "p_partkey", "p_brand")
-
-
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber AS shirt, l_suppkey AS ext, min(l_partkey) AS id FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3),
-o AS (SELECT l_orderkey, CASE WHEN l_suppkey % 3 <> 0 THEN l_linenumber END AS shirt, l_suppkey AS ext FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2, 3),
-l AS (SELECT ext, min(id) AS id FROM x GROUP BY 1 HAVING count(DISTINCT id) = 1),
-s AS (SELECT l_orderkey, shirt, min(id) AS id FROM x GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
-SELECT o.l_orderkey, o.shirt, o.ext, coalesce(s.id, l.id) AS id, CASE WHEN s.id IS NOT NULL THEN 'shirt' WHEN l.id IS NOT NULL THEN 'learned' END AS how FROM o LEFT JOIN s ON s.l_orderkey = o.l_orderkey AND s.shirt = o.shirt LEFT JOIN l ON l.ext = o.ext""")
-def official_link(t: Tables):
-    """By shirt within the match, else by an id learned anywhere; ambiguous ones stay open."""
-    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("shirt"), F.col("l_suppkey").alias("ext"), "l_partkey")
-    x = lines.where("shirt <= 3").groupBy("l_orderkey", "shirt", "ext").agg(F.min("l_partkey").alias("id"))
-    o = lines.where("shirt <= 4").select("l_orderkey", F.when(F.col("ext") % 3 != 0, F.col("shirt")).alias("shirt"), "ext").distinct()
-    learned = match.single_owner(x, "ext", "id").withColumnRenamed("id", "lid")
-    by = x.groupBy("l_orderkey", "shirt").agg(F.countDistinct("id").alias("n"), F.min("id").alias("sid")).where("n = 1").drop("n")
-    j = o.join(by, ["l_orderkey", "shirt"], "left").join(learned, "ext", "left")
-    return j.select("l_orderkey", "shirt", "ext", F.coalesce("sid", "lid").alias("id"), F.when(F.col("sid").isNotNull(), "shirt").when(F.col("lid").isNotNull(), "learned").alias("how"))
-
-
-@query("""WITH m AS (SELECT o_orderkey, o_custkey, o_orderdate AS d FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT o_orderkey AS other, o_custkey, o_orderdate AS e, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'P')
-SELECT o_orderkey, max_by(other, (score, -other)) AS other, count(*) AS n FROM m JOIN c USING (o_custkey) WHERE abs(date_diff('day', d::DATE, e::DATE)) <= 30 GROUP BY 1""")
-def match_discovery(t: Tables):
-    m = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
-    c = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("other"), "o_custkey", F.to_date("o_orderdate").alias("e"), F.col("o_totalprice").alias("score"))
-    j = m.join(c, "o_custkey").where(F.abs(F.datediff("d", "e")) <= 30)
-    return j.groupBy("o_orderkey").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"), F.count("*").alias("n"))
-
-
 @query("""WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey, (l_linenumber = 2) AS best, (l_linenumber = 1) AS star, l_quantity AS score FROM lineitem),
 f AS (SELECT *, bool_or(best) OVER (PARTITION BY l_orderkey) AS any_best, row_number() OVER (PARTITION BY l_orderkey, CASE WHEN best THEN 2 WHEN star THEN 1 ELSE 0 END ORDER BY score DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM r)
 SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM f WHERE rn = 1 AND (best OR (star AND NOT any_best))""")
@@ -421,5 +361,3 @@ def discovery_verified(t: Tables):
 @query("SELECT user_id, max_by(event_id, event_id) AS run, max_by(event_type, event_id) AS outcome, count(*) AS runs FROM events GROUP BY 1")
 def run_log_latest(t: Tables):
     return t.events.groupBy("user_id").agg(F.max("event_id").alias("run"), F.max_by("event_type", "event_id").alias("outcome"), F.count("*").alias("runs"))
-
-

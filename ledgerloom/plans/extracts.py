@@ -240,15 +240,6 @@ def best_fixture(t: Tables):
     return f.groupBy("round").agg(F.max_by(F.struct("a", "b"), F.struct("s", -F.col("a"), -F.col("b"))).alias("m")).select("round", "m.*")
 
 
-@query()
-def fixture_pairs(t: Tables):
-    """Fixtures of two sources paired one to one within a round, both sides scored by what they share."""
-    from ..operators.match import greedy_pairs
-
-    f = t.lineitem.where("l_quantity >= 25").groupBy(F.col("l_orderkey").alias("round"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
-    return greedy_pairs(f, "round", "a", "b", "s")
-
-
 @query("""SELECT page_id, i::INT AS section, CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END AS side, i < 2 AS starter, length(s[i + 2])::INT AS chars
 FROM (SELECT page_id, s, unnest(range(0, least(len(s) - 1, 4))) AS i FROM (SELECT page_id, string_split(html, '<li>') AS s FROM pages))""")
 def lineup_sections(t: Tables):

@@ -310,15 +310,6 @@ def merged_timeline(t: Tables):
     return e.unionByName(o).orderBy(F.desc("moment"), "id", "origin")
 
 
-@query()
-def greedy_pairs(t: Tables):
-    """Customers and suppliers of a nation paired one to one, the closest balances first."""
-    c = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    s = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    scored = c.join(s, "nation").withColumn("score", -F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    return match.greedy_pairs(scored, "nation", "c_custkey", "s_suppkey", "score")
-
-
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")
 def set_union_keys(t: Tables):
     return t.customer.select(F.col("c_nationkey").cast("long").alias("k")).union(t.supplier.select("s_suppkey")).distinct()
