@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import match, queue, replay
+from ..operators import queue, replay
 from ..operators.documents import nulls_last, ordered, to_json
 from ..operators.diff import source_diff as compare
+from ..operators.rank import cume_dist
 from ..sources.tables import Tables, source_a, source_b
 from .reconcile import A_SQL, B_SQL, KEY
 from .registry import query
@@ -318,7 +319,8 @@ def v_official_diff(t: Tables):
 
 @query("SELECT event_type, value, round(100 * cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS percentile, event_id FROM events")
 def v_rating_distribution(t: Tables):
-    return t.events.select("event_type", "value", F.round(100 * F.cume_dist().over(Window.partitionBy("event_type").orderBy("value")), 6).alias("percentile"), "event_id")
+    x = cume_dist(t.events.select("event_type", "value", "event_id"), "event_type", "value", 0.5, "share")
+    return x.select("event_type", "value", F.round(100 * F.col("share"), 6).alias("percentile"), "event_id")
 
 
 @query("""SELECT r_regionkey, r_name, count(DISTINCT n_nationkey) AS teams, count(c_custkey) AS players FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.layers import bucket, parse_ranges
 from ..functions.text import tokens
 from ..operators import match
+from ..operators.rank import cume_dist
 from ..operators.documents import ordered, to_json
 from ..sources.tables import Tables, page, scan
 from .registry import query
@@ -256,7 +257,8 @@ def top1_per_key(t: Tables):
 
 @query("SELECT o_orderkey, round(100 * cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 6) AS percentile FROM orders")
 def percentile_rank(t: Tables):
-    return t.orders.select("o_orderkey", F.round(100 * F.cume_dist().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice")), 6).alias("percentile"))
+    x = cume_dist(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", 1000.0, "share")
+    return x.select("o_orderkey", F.round(100 * F.col("share"), 6).alias("percentile"))
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM conversations""")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import diff, documents, match, merge, overlay, queue, replay
+from ledgerloom.operators import diff, documents, match, merge, overlay, queue, rank, replay
 from ledgerloom.sources.tables import load, page, scan
 
 from .conftest import SMALL
@@ -157,7 +157,50 @@ def test_pushdown(spark):
 
 
 def test_bad_registration():
+    import ledgerloom.plans.catalog  # noqa: F401  the names are taken once it is loaded
     from ledgerloom.plans.registry import query
 
     with pytest.raises(ValueError):
         query("SELECT 1", "source_diff")(lambda t: None)
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6), st.integers(0, 6), st.integers(0, 4)), max_size=40))
+@settings(max_examples=5, deadline=None)
+def test_rounds_give_the_pairs_of_the_plain_loop(spark, rows):
+    df = frame(spark, [(b, x, y, float(s)) for b, x, y, s in rows], "b int, x int, y int, s double")
+    plain = match.greedy_pairs(df, "b", "x", "y", "s")
+    assert sorted(map(tuple, match.greedy_pairs(df, "b", "x", "y", "s", small=0).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_greedy_leaves_out_pairs_without_a_score(spark):
+    df = frame(spark, [(1, 1, 1, None), (1, 1, 2, 0.5), (None, 3, 3, 1.0)], "b int, x int, y int, s double")
+    for small in (0, 9):
+        assert [tuple(r) for r in match.greedy_pairs(df, "b", "x", "y", "s", small=small).collect()] == [(1, 1, 2, 0.5)]
+
+
+@given(st.lists(st.sets(st.sampled_from("abcde"), max_size=4), max_size=8), st.lists(st.sets(st.sampled_from("abcde"), max_size=4), max_size=8))
+@settings(max_examples=5, deadline=None)
+def test_containing_is_every_pair_of_nested_sets(spark, ls, rs):
+    l, r = (frame(spark, [(i, sorted(w)) for i, w in enumerate(x)], f"{n} int, w array<string>") for x, n in ((ls, "i"), (rs, "j")))
+    want = {(i, j) for i, a in enumerate(ls) for j, b in enumerate(rs) if a and b and (a <= b or b <= a)}
+    got = [tuple(x) for x in match.containing(l, r, "i", "j", "w").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_squad_ties_and_shirts(spark):
+    kind = "t int, {} int, words array<string>, age int, shirt int"
+    right = frame(spark, [(1, 10, ["rui", "silva"], 20, 7), (1, 11, ["rui", "costa"], 25, 9), (1, 12, ["joao"], None, 4), (1, 13, ["ze"], 40, 4)], kind.format("b"))
+    left = frame(spark, [(1, 1, ["rui"], 25, 1), (1, 2, ["rui"], None, 9), (1, 3, ["rui"], 0, 4), (1, 4, ["silva"], 99, 1), (1, 5, [], 30, 4), (2, 6, ["rui", "silva"], 20, 7)], kind.format("a"))
+    got = {r.a: (r.b, r.how) for r in match.squad_link(left, right, "t", "a", "b").collect()}
+    # A tie that age leaves open goes on to the shirt; of two rows with one shirt the last counts, refused by age.
+    assert got == {1: (11, "age"), 2: (11, "shirt"), 3: (None, None), 4: (10, "name"), 5: (None, None), 6: (None, None)}
+
+
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b"]), st.sampled_from([None, -3.0, -0.0, 0.0, 0.25, 7.0, 1e6, float("inf"), float("nan")])), max_size=25))
+@settings(max_examples=5, deadline=None)
+def test_cume_dist_as_the_window(spark, rows):
+    from pyspark.sql import Window
+
+    df = frame(spark, [(i, *r) for i, r in enumerate(rows)], "i int, k string, v double")
+    want = {r.i: r.s for r in df.withColumn("s", F.cume_dist().over(Window.partitionBy("k").orderBy("v"))).collect()}
+    assert {r.i: r.s for r in rank.cume_dist(df, "k", "v", 0.5, "s").collect()} == want
