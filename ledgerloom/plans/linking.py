@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_overlap
@@ -78,21 +78,29 @@ def tiered_link(t: Tables):
     return match.link_in_order(ratings.withColumn("name", F.regexp_replace("words", " ", "")), roster, "l_orderkey")
 
 
-@query("""WITH w AS (SELECT p_partkey AS k, p_partkey // 20 AS team, string_split(p_name, ' ') AS w, p_size AS z FROM part),
+def squads(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The squads of both sources, twenty players each."""
+    k, w, z = F.col("p_partkey"), F.split("p_name", " "), F.col("p_size")
+    words = F.when(k % 5 == 0, F.array(w[0])).when(k % 5 == 1, w).when(k % 5 == 2, F.array(F.lit("nobody"))).when(k % 5 == 3, F.concat(w, F.array(F.lit("junior")))).otherwise(F.array(w[1]))
+    team = F.floor(k / 20).alias("team")
+    left = t.part.select("p_partkey", team, words.alias("words"), F.when(z % 7 != 0, z % 30).alias("age"), (k % 20).alias("shirt"))
+    right = t.part.select(k.alias("other"), team, w.alias("words"), F.when(z % 11 != 0, (z + (k % 3 == 0).cast("int")) % 30).alias("age"), (k % 17).alias("shirt"))
+    return left, right
+
+
+SQUAD_SQL = """w AS (SELECT p_partkey AS k, p_partkey // 20 AS team, string_split(p_name, ' ') AS w, p_size AS z FROM part),
 l AS (SELECT k, team, CASE k % 5 WHEN 0 THEN [w[1]] WHEN 1 THEN w WHEN 2 THEN ['nobody'] WHEN 3 THEN w || ['junior'] ELSE [w[2]] END AS w, CASE WHEN z % 7 <> 0 THEN z % 30 END AS age, k % 20 AS shirt FROM w),
 r AS (SELECT k AS other, team, w, CASE WHEN z % 11 <> 0 THEN (z + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) % 30 END AS age, k % 17 AS shirt FROM w),
 x AS (SELECT k, count(*) AS n, min(other) AS one, count(*) FILTER (l.age <> 0 AND l.age = r.age) AS m, min(other) FILTER (l.age <> 0 AND l.age = r.age) AS aged FROM l JOIN r ON l.team = r.team AND (list_has_all(l.w, r.w) OR list_has_all(r.w, l.w)) GROUP BY 1),
 s AS (SELECT team, shirt, other AS worn, age AS wage FROM r QUALIFY row_number() OVER (PARTITION BY team, shirt ORDER BY other DESC) = 1),
-j AS (SELECT k, one, aged, worn, CASE WHEN n = 1 THEN 'name' WHEN n > 1 AND m = 1 THEN 'age' WHEN worn IS NOT NULL AND coalesce(abs(age - wage) <= 1, true) THEN 'shirt' END AS how FROM l LEFT JOIN x USING (k) LEFT JOIN s USING (team, shirt))
+j AS (SELECT k, one, aged, worn, CASE WHEN n = 1 THEN 'name' WHEN n > 1 AND m = 1 THEN 'age' WHEN worn IS NOT NULL AND coalesce(abs(age - wage) <= 1, true) THEN 'shirt' END AS how FROM l LEFT JOIN x USING (k) LEFT JOIN s USING (team, shirt))"""
+
+
+@query(f"""WITH {SQUAD_SQL}
 SELECT k AS p_partkey, CASE how WHEN 'name' THEN one WHEN 'age' THEN aged WHEN 'shirt' THEN worn END AS other, how FROM j""")
 def squad_link(t: Tables):
     """Rows of a squad to another source's rows of the same squad: words, then age, then shirt."""
-    k, w, z = F.col("p_partkey"), F.split("p_name", " "), F.col("p_size")
-    words = F.when(k % 5 == 0, F.array(w[0])).when(k % 5 == 1, w).when(k % 5 == 2, F.array(F.lit("nobody"))).when(k % 5 == 3, F.concat(w, F.array(F.lit("junior")))).otherwise(F.array(w[1]))
-    team = F.floor(k / 20).alias("team")
-    left = t.part.select("p_partkey", team, words.alias("words"), F.when(z % 7 != 0, z % 30).alias("age"), (k % 20).alias("shirt"))
-    right = t.part.select(k.alias("other"), team, w.alias("words"), F.when(z % 11 != 0, (z + (k % 3 == 0).cast("int")) % 30).alias("age"), (k % 17).alias("shirt"))
-    return match.squad_link(left, right, "team", "p_partkey", "other")
+    return match.squad_link(*squads(t), "team", "p_partkey", "other")
 
 
 @query("""WITH sup AS (SELECT s_suppkey AS id, s_suppkey // 2 AS k, lower(n_name) AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey), cus AS (SELECT c_custkey, c_custkey // 30 AS k, lower(n_name) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey),
