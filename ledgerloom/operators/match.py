@@ -1,7 +1,8 @@
 """Entity resolution: tiers of evidence, and a gap rather than a guess.
 
 Every matcher gives (left_id, right_id or null, tier, n_candidates). Candidates are made
-within blocks by equality joins; an ambiguous tier leaves a gap.
+within blocks by equality joins; an ambiguous tier leaves a gap. Sides that grow with the
+squads are merged by hint: from the size of compressed files the planner would broadcast them.
 """
 
 from __future__ import annotations
@@ -41,19 +42,19 @@ def containing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     """left_id, right_id: pairs whose token sets contain one another, each once; empty sets have none.
 
     The inner set meets the outer one at its rarest token, so frequent tokens make no candidates but
-    for sets that hold nothing else."""
+    for sets that hold nothing else. The ids may be structs, which carries further columns along."""
     keys = [*block, "_t"]
     l, r = left.select(*block, left_id, F.col(tokens).alias("_l")), right.select(*block, right_id, F.col(tokens).alias("_r"))
     every_l, every_r = l.withColumn("_t", F.explode("_l")), r.withColumn("_t", F.explode("_r"))
     seen = every_l.select(*keys).unionByName(every_r.select(*keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
 
     def rarest(every: DataFrame, name: str, words: str) -> DataFrame:
-        g = every.join(seen, keys).groupBy(*block, name, words).agg(F.min(F.struct("_n", "_t")).alias("_m"))
+        g = every.join(seen.hint("merge"), keys).groupBy(*block, name, words).agg(F.min(F.struct("_n", "_t")).alias("_m"))
         return g.select(*block, name, words, F.col("_m._t").alias("_t"))
 
     inside = lambda a, b: F.size(F.array_except(a, b)) == 0
-    up = rarest(every_l, left_id, "_l").join(every_r, keys).where(inside("_l", "_r"))
-    down = every_l.join(rarest(every_r, right_id, "_r"), keys).where(inside("_r", "_l"))
+    up = rarest(every_l, left_id, "_l").join(every_r.hint("merge"), keys).where(inside("_l", "_r"))
+    down = every_l.join(rarest(every_r, right_id, "_r").hint("merge"), keys).where(inside("_r", "_l"))
     return up.select(left_id, right_id).union(down.select(left_id, right_id)).distinct()
 
 
@@ -76,12 +77,13 @@ def squad_link(left: DataFrame, right: DataFrame, block: str, left_id: str, righ
     """left_id, right_id or null, how: the only partner by containment of words; of several the only one
     of the same age; else the last row with the shirt, unless the ages are known and over a year apart.
     Both sides: block, id, words, age, shirt; an age of 0 breaks no tie."""
-    ages = left.select(left_id, F.nullif("age", F.lit(0)).alias("_a"))
-    hits = containing(left, right, left_id, right_id, "words", (block,)).join(ages, left_id).join(right.select(right_id, F.col("age").alias("_b")), right_id)
+    l = left.select(block, F.struct(left_id, F.nullif("age", F.lit(0)).alias("_a")).alias("_p"), "words")
+    r = right.select(block, F.struct(right_id, F.col("age").alias("_b")).alias("_q"), "words")
+    hits = containing(l, r, "_p", "_q", "words", (block,)).select("_p.*", "_q.*")
     same = F.when(F.col("_a") == F.col("_b"), F.col(right_id))
     g = hits.groupBy(left_id).agg(F.count("*").alias("_n"), F.min(right_id).alias("_r"), F.count(same).alias("_m"), F.min(same).alias("_s"))
     last = right.where("shirt is not null").groupBy(block, "shirt").agg(F.max(F.struct(right_id, "age")).alias("_w"))
-    j = left.join(g, left_id, "left").join(last, [block, "shirt"], "left")
+    j = left.join(g.hint("merge"), left_id, "left").join(last.hint("merge"), [block, "shirt"], "left")
     near = F.col("_w").isNotNull() & F.coalesce(F.abs(F.col("age") - F.col("_w.age")) <= 1, F.lit(True))
     how = F.when(F.col("_n") == 1, "name").when((F.col("_n") > 1) & (F.col("_m") == 1), "age").when(near, "shirt")
     return j.select(left_id, F.when(how == "name", F.col("_r")).when(how == "age", F.col("_s")).when(how == "shirt", F.col(f"_w.{right_id}")).alias(right_id), how.alias("how"))

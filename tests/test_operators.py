@@ -204,3 +204,12 @@ def test_cume_dist_as_the_window(spark, rows):
     df = frame(spark, [(i, *r) for i, r in enumerate(rows)], "i int, k string, v double")
     want = {r.i: r.s for r in df.withColumn("s", F.cume_dist().over(Window.partitionBy("k").orderBy("v"))).collect()}
     assert {r.i: r.s for r in rank.cume_dist(df, "k", "v", 0.5, "s").collect()} == want
+
+
+def test_linking_of_squads_broadcasts_nothing(spark):
+    """The planner takes the size of compressed files for that of the rows: their broadcasts filled the driver."""
+    from ledgerloom.plans.catalog import QUERIES
+
+    df = QUERIES["squad_link"](spark, SMALL)
+    assert len(df.collect()) == 200
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
