@@ -67,9 +67,9 @@ def unique_subset(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 def token_link(names: DataFrame, teams: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, how: an equal token set (the first name, then the smallest id), else the only
     partner by containment over all names. names: left_id, pos, words; teams: right_id, words; words sorted."""
-    exact = names.where(F.size("words") > 0).join(teams, "words").groupBy(left_id).agg(F.min(F.struct("pos", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias("_e"))
+    exact = names.where(F.size("words") > 0).join(teams.hint("merge"), "words").groupBy(left_id).agg(F.min(F.struct("pos", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias("_e"))
     near = containing(names, teams, left_id, right_id, "words").groupBy(left_id).agg(F.count("*").alias("_n"), F.min(right_id).alias("_s"))
-    j = near.where("_n = 1").join(exact, left_id, "full")
+    j = near.where("_n = 1").join(exact.hint("merge"), left_id, "full")
     return j.select(left_id, F.coalesce("_e", "_s").alias(right_id), F.when(F.col("_e").isNotNull(), "exact").otherwise("subset").alias("how"))
 
 

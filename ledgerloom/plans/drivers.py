@@ -68,12 +68,12 @@ def _enriched(t: Tables, chosen: str) -> DataFrame:
     listed = right.select("team").distinct().where("team % 4 <> 1").select((F.col("team") + 500000).alias("ext"), F.array(tag).alias("words"))
     names = teams.select("team", F.lit(0).alias("pos"), F.array(tag, F.lit("united")).alias("words"))
     found = match.token_link(names.where("team % 3 <> 0"), listed, "team", "ext").drop("how").withColumnRenamed("ext", "named")
-    teams = teams.join(found, "team", "left").withColumn("stored", F.when(F.col("team") % 3 == 0, F.col("team") + 500000))
+    teams = teams.join(found.hint("merge"), "team", "left").withColumn("stored", F.when(F.col("team") % 3 == 0, F.col("team") + 500000))
     teams = teams.select("team", F.coalesce("stored", "named").alias("ext"), (F.col("stored").isNull() & F.col("named").isNotNull()).alias("learned"))
-    links = match.squad_link(left.join(teams.where("ext is not null").select("team", "ext"), "team"), right.withColumn("ext", F.col("team") + 500000).drop("team"), "ext", "p_partkey", "other")
-    x = left.select("team", "p_partkey").join(links, "p_partkey", "left")
+    links = match.squad_link(left.join(teams.where("ext is not null").select("team", "ext").hint("merge"), "team"), right.withColumn("ext", F.col("team") + 500000).drop("team"), "ext", "p_partkey", "other")
+    x = left.select("team", "p_partkey").join(links.hint("merge"), "p_partkey", "left")
     g = x.groupBy("team").agg(F.count("*").alias("players"), *[F.count_if(F.col("how") == h).alias(f"by_{h}") for h in ("name", "age", "shirt")])
-    return teams.join(g, "team")
+    return teams.join(g.hint("merge"), "team")
 
 
 @query(f"WITH {ENRICH_SQL} {COUNTS_SQL.replace('(how', '(coalesce(stored, named) IS NOT NULL AND how')} GROUP BY 1, 2, 3")

@@ -206,10 +206,11 @@ def test_cume_dist_as_the_window(spark, rows):
     assert {r.i: r.s for r in rank.cume_dist(df, "k", "v", 0.5, "s").collect()} == want
 
 
-def test_linking_of_squads_broadcasts_nothing(spark):
+@pytest.mark.parametrize("name, rows", [("squad_link", 200), ("squad_enrichment", 10)])
+def test_linking_of_squads_broadcasts_nothing(spark, name, rows):
     """The planner takes the size of compressed files for that of the rows: their broadcasts filled the driver."""
     from ledgerloom.plans.catalog import QUERIES
 
-    df = QUERIES["squad_link"](spark, SMALL)
-    assert len(df.collect()) == 200
+    df = QUERIES[name](spark, SMALL)
+    assert len(df.collect()) == rows
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
