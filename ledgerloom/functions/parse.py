@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,7 +103,7 @@ def lineup_role(section: Column) -> Column:
 
 def _first(x: Column, *patterns: str) -> Column:
     """The group of the first pattern that matches, trimmed; null if none does."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(x, p, 1)), F.lit("")) for p in patterns])
+    return F.coalesce(*[_once(F.trim(F.regexp_extract(x, p, 1)), lambda v: F.nullif(v, F.lit(""))) for p in patterns])
 
 
 def section_of(html: Column, title: str) -> Column:
@@ -131,10 +133,16 @@ def senior(rows: Column) -> Column:
     return F.filter(rows, lambda r: ~r["name"].rlike(YOUTH))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: inside the lambda of an array function an expression is computed for every
+    element, and again wherever it is named."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def first_by_id(rows: Column) -> Column:
     """The first row of each id, in order."""
-    ids = F.transform(rows, lambda r: r["id"])
-    return F.filter(rows, lambda r, i: F.array_position(ids, r["id"]) == i + 1)
+    first = lambda b: F.filter(b["rows"], lambda r, i: F.array_position(b["ids"], r["id"]) == i + 1)
+    return _once(rows, lambda x: _once(F.struct(x.alias("rows"), F.transform(x, lambda r: r["id"]).alias("ids")), first))
 
 
 def fixture(row: Column) -> Column:
@@ -143,25 +151,22 @@ def fixture(row: Column) -> Column:
     The id is the row's own, else that of its link; a result makes it final, a kick-off time scheduled."""
     teams = F.regexp_extract_all(row, F.lit(r'href="/team/([0-9]+)"[^>]*>([^<]+)<'), 1)
     names = F.regexp_extract_all(row, F.lit(r'href="/team/([0-9]+)"[^>]*>([^<]+)<'), 2)
-    said = _first(row, r'class="result"[^>]*>([^<]*)<')
-    s = score(said)
-    kick = _first(row, r'class="vs"[^>]*>([0-9]{1,2}:[0-9]{2})<')
-    return F.when(
-        F.size(names) >= 2,
-        F.struct(
-            _first(row, r'id="game-([0-9]+)"', r'href="/game/[a-z0-9-]*?([0-9]+)"').alias("id"),
-            _first(row, r'href="/game/([a-z0-9-]+)"').alias("slug"),
-            _first(row, r"([0-9]{4}-[0-9]{2}-[0-9]{2})").try_cast("date").alias("date"),
-            F.get(names, 0).alias("home"),
-            F.get(teams, 0).try_cast("long").alias("home_id"),
-            F.get(names, 1).alias("away"),
-            F.get(teams, 1).try_cast("long").alias("away_id"),
-            s["home"].alias("home_score"),
-            s["away"].alias("away_score"),
-            kick.alias("kickoff"),
-            F.when(s.isNotNull(), "final").otherwise("scheduled").alias("status"),
-        ),
+    made = lambda names, teams, s: F.struct(
+        _first(row, r'id="game-([0-9]+)"', r'href="/game/[a-z0-9-]*?([0-9]+)"').alias("id"),
+        _first(row, r'href="/game/([a-z0-9-]+)"').alias("slug"),
+        _first(row, r"([0-9]{4}-[0-9]{2}-[0-9]{2})").try_cast("date").alias("date"),
+        F.get(names, 0).alias("home"),
+        F.get(teams, 0).try_cast("long").alias("home_id"),
+        F.get(names, 1).alias("away"),
+        F.get(teams, 1).try_cast("long").alias("away_id"),
+        s["home"].alias("home_score"),
+        s["away"].alias("away_score"),
+        _first(row, r'class="vs"[^>]*>([0-9]{1,2}:[0-9]{2})<').alias("kickoff"),
+        F.when(s.isNotNull(), "final").otherwise("scheduled").alias("status"),
     )
+    said = F.regexp_extract(row, r'class="result"[^>]*>([^<]*)<', 1)
+    parts = lambda n: F.struct(n.alias("names"), teams.alias("teams"), _once(said, score).alias("score"))
+    return _once(names, lambda n: F.when(F.size(n) >= 2, _once(parts(n), lambda v: made(v["names"], v["teams"], v["score"]))))
 
 
 def fixtures(html: Column) -> Column:

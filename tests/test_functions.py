@@ -106,3 +106,12 @@ def test_range_scores_as_texts():
     from ledgerloom.functions.layers import parse_ranges
 
     assert parse_ranges({"0-5": "4", "5-6": 5, "x-y": 1, "7-8": "no"}) == [(0.0, 5.0, 4), (5.0, 6.0, 5)]
+
+
+def test_a_page_is_cut_into_rows_once(spark):
+    """Not once for every row of it, as an expression inside a lambda is."""
+    df = spark.createDataFrame([('<tr id="game-1"><a href="/team/2">A</a><a href="/team/3">B</a></tr><tr id="game-1"><a href="/team/4">C</a><a href="/team/5">D</a></tr>',)], "html string").select(R.fixtures(F.col("html")).alias("x"))
+    assert [(r.id, r.home, r.away, r.status) for r in df.first().x] == [("1", "A", "B", "scheduled")]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?=<tr[ >])") == 1
+    assert plan.count('class="result"') == 1
