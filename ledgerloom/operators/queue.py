@@ -9,8 +9,8 @@ from ..functions.text import backoff
 
 # Priorities of job kinds, attempts before a delivery is given up.
 PRIORITY = {"watch": 10, "match": 50, "round": 50, "dates": 55, "ratings": 60, "squads": 70, "official": 80, "backfill": 90}
-#: Subscribers to everything that may be broadcast.
-WILD = 10_000
+#: Routing: pairs of a task, tasks at most (then with more pairs each), subscribers of a task, subscribers of a block.
+CELL, CELLS, SHARE, BLOCK = 1 << 24, 10_000, 1 << 16, 4096
 MAX_ATTEMPTS = 8
 
 
@@ -37,14 +37,36 @@ def delivered(df: DataFrame, has_payload: Column, listeners: Column, failures: C
     return df.withColumn("status", status).withColumn("next_attempt_at", F.when(status == "pending", later))
 
 
+def _grid(rows: DataFrame, subscribers: DataFrame, keys: list[str], pairs: int, n: int, m: int) -> DataFrame:
+    """rows (n of them) joined to subscribers (m, the other columns of which stand in `_x`) on the keys, or all with all. The
+    pairs are dealt to a grid of cells of about CELL: each takes a share of the rows and one of the subscribers, these in
+    blocks of a key, so that a row meets an array at a time."""
+    cells = min(CELLS, pairs // CELL + 1)
+    across = min(max(m, 1), max(-(-m // SHARE), round((cells * m / max(n, 1)) ** 0.5), 1))
+    down = -(-cells // across)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    on = ["_u", "_v", *keys]
+    l = rows.withColumn("_u", (F.monotonically_increasing_id() % down).cast("int")).withColumn("_v", every(across))
+    s = subscribers.withColumn("_i", F.monotonically_increasing_id())
+    s = s.groupBy(*keys, (F.col("_i") % across).cast("int").alias("_v"), F.floor(F.col("_i") / (across * BLOCK)).alias("_c")).agg(F.collect_list("_x").alias("_x"))
+    r = s.drop("_c").withColumn("_u", every(down))
+    return l.repartition(down * across, *on).join(r.repartition(down * across, *on).hint("merge"), on)
+
+
 def route(rows: DataFrame, subscribers: DataFrame, row_key: str, sub_key: str) -> DataFrame:
     """Active subscribers whose key is the row's, or null (all rows): an equality join, and the wildcards, each of
-    which takes every row. Up to WILD of them (counted) are broadcast."""
+    which takes every row. The pairs of both are counted by key and dealt evenly; no side is broadcast."""
     s = subscribers.where("active")
-    exact = rows.join(s.where(F.col(sub_key).isNotNull()), F.col(row_key) == F.col(sub_key))
-    every = s.where(F.col(sub_key).isNull())
-    wild = rows.crossJoin(F.broadcast(every) if every.limit(WILD + 1).count() <= WILD else every)
-    return exact.unionByName(wild)
+    have = lambda df, key, x: df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).withColumn("x", F.lit(x))
+    k = have(rows, row_key, "r").unionByName(have(s, sub_key, "s")).groupBy("k").agg(*[F.sum(F.when(F.col("x") == x, F.col("n")).otherwise(0)).alias(x) for x in "rs"])
+    some, total = F.col("k").isNotNull(), lambda x, c: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    m = k.agg(*[total(x, c).alias(n) for n, x, c in (("pairs", F.col("r") * F.col("s"), some), ("rows", F.col("r"), F.lit(True)), ("keyed", F.col("s"), some), ("wild", F.col("s"), ~some))]).first()
+    x = F.struct(*([c for c in s.columns if c not in (sub_key, "active")] or [sub_key])).alias("_x")
+    out = lambda j, key: j.select(*rows.columns, *(["_k"] if "_k" in j.columns else []), F.inline("_x")).select(*rows.columns, *[key.alias(c) if c == sub_key else F.lit(True).alias(c) if c == "active" else F.col(c) for c in s.columns])
+    keyed, wild = s.where(F.col(sub_key).isNotNull()).select(F.col(sub_key).alias("_k"), x), s.where(F.col(sub_key).isNull()).select(x)
+    exact = _grid(rows.where(F.col(row_key).isNotNull()).withColumn("_k", F.col(row_key)), keyed, ["_k"], m.pairs, m.rows, m.keyed)
+    every = _grid(rows, wild, [], m.rows * m.wild, m.rows, m.wild)
+    return out(exact, F.col("_k")).unionByName(out(every, F.lit(None).cast(s.schema[sub_key].dataType)))
 
 
 def enqueue(jobs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -214,3 +214,14 @@ def test_linking_of_squads_broadcasts_nothing(spark, name, rows):
     df = QUERIES[name](spark, SMALL)
     assert len(df.collect()) == rows
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_routing_is_dealt_over_a_grid(spark, monkeypatch):
+    """Many cells give the pairs of one, and no side is broadcast."""
+    monkeypatch.setattr(queue, "CELL", 8, raising=False)
+    rows = frame(spark, [(i, None if i == 5 else i % 3) for i in range(20)], "a int, k int")
+    subs = frame(spark, [(i, None if i % 4 == 0 else i % 3, i != 7) for i in range(12)], "b int, w int, active boolean")
+    df = queue.route(rows, subs, "k", "w")
+    want = sorted((a, b) for a in range(20) for b in range(12) if b != 7 and (b % 4 == 0 or (a != 5 and a % 3 == b % 3)))
+    assert sorted((r.a, r.b) for r in df.collect()) == want
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
